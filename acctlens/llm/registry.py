@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import quality_rules, simhash, token_counts
+from . import lm_scoring, quality, quality_rules, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }

@@ -60,7 +60,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     largest weight; a second one without the penalty is trained on these alone.
     """
     positive, unlabelled = families(positive), families(unlabelled)
-    weights, bias = _descend(positive, unlabelled, prior, l1=1e-3, **kw)
+    weights, bias = _descend(positive, unlabelled, prior, l1=1e-3 * max(1.0, (1000 / max(1, len(positive))) ** 0.5), **kw)
     if not weights.any():
         return weights, bias
     chosen = np.abs(weights) >= share * np.abs(weights).max()

@@ -131,6 +131,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int = 5, held
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_accepted(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier doesn't reject (score below THRESHOLD); nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def kept(batches):
+        odds, bias = held.value
+        for batch in batches:
+            for b in slices(batch, 2 << 20):
+                good = scores(b.column(1).to_pylist(), odds, bias) >= THRESHOLD
+                rest = pa.RecordBatch.from_arrays(b.columns[2:], names=names)
+                yield rest.filter(pa.array(good))
+
+    rows = docs.select(F.lit(0).alias("_row"), F.col("text").cast("binary").alias("_bytes"), "*")
+    return rows.mapInArrow(kept, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

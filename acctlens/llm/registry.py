@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, lm_scoring, mixing, quality, quality_rules, simhash, token_counts, toxicity, warc
+from . import decontaminate, line_dedup, lm_scoring, mixing, quality, quality_rules, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,

@@ -1,0 +1 @@
+"""Account-similarity analytics on Spark DataFrames."""

@@ -45,4 +45,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components: no end after {most_rounds} rounds")
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    # Roots are nodes too.
+    both = F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("c")), F.struct(F.col("a").alias("node"), F.col("a").alias("c")))).alias("x")
+    return now.select(both).select("x.*").groupBy("node").agg(F.min("c").alias("component"))

@@ -34,7 +34,7 @@ def entropy(weights: dict) -> float:
 def bisect_alpha(tokens: dict, budget: float, share: float | None = ENTROPY, repeats: float | None = REPEATS, rounds: int = 60) -> float:
     """The largest alpha in [0, 1] with an entropy of at least share * log(sources), but none at which a source repeats more than `repeats` times.
 
-    Entropy falls and the largest repetition falls as alpha grows, so each is bisected; where both can't be
+    Without a share, alpha is the least one that the limit allows. Entropy falls and the largest repetition falls as alpha grows, so each is bisected; where both can't be
     had, the repetition limit holds, and where even alpha = 1 breaks it (the budget is too large), alpha is 1.
     """
     tokens = {s: n for s, n in tokens.items() if n > 0}
@@ -51,7 +51,7 @@ def bisect_alpha(tokens: dict, budget: float, share: float | None = ENTROPY, rep
             low, high = (mid, high) if low_side(mid) else (low, mid)
         return low
 
-    alpha = 1.0 if share is None else border(lambda a: entropy(tempered(tokens, a)) >= share * math.log(len(tokens)))
+    alpha = 0.0 if share is None else border(lambda a: entropy(tempered(tokens, a)) >= share * math.log(len(tokens)))
     if repeats is not None:
         most = lambda a: max(w * budget / tokens[s] for s, w in tempered(tokens, a).items())
         if most(alpha) > repeats:

@@ -90,10 +90,16 @@ def weekend(e: DataFrame) -> DataFrame:
     return g.select("account_id", "weekend_share", F.when((ra > 1e-9) & (rb > 1e-9), cosine).otherwise(0.0).alias("weekend_phase"))
 
 
+def _clamped(window):
+    """Gap to the event before, between 0.5 and 1800 seconds; null at the first one (least and greatest skip nulls)."""
+    gap = F.col("t") - F.lag("t").over(window)
+    return F.when(gap.isNotNull(), F.least(F.lit(1800.0), F.greatest(F.lit(0.5), gap)))
+
+
 def gaps(e: DataFrame) -> DataFrame:
     """Clamped gaps inside sessions: account_id, session, seq, gap, len, before (the gap before that)."""
     w = Window.partitionBy("account_id", "session").orderBy("seq")
-    g = e.withColumn("gap", F.least(F.lit(1800.0), F.greatest(F.lit(0.5), F.col("t") - F.lag("t").over(w)))).filter("gap IS NOT NULL")
+    g = e.withColumn("gap", _clamped(w)).filter("gap IS NOT NULL")
     return g.withColumn("before", F.lag("gap").over(w)).select("account_id", "session", "seq", "gap", "len", "before")
 
 
@@ -101,7 +107,7 @@ def intervals(e: DataFrame, inside: DataFrame) -> DataFrame:
     """(account_id, gap): gaps inside sessions; of accounts without any, gaps between all events; of single events, 1800."""
     w = Window.partitionBy("account_id").orderBy("seq")
     without = e.join(inside.select("account_id").distinct(), "account_id", "left_anti")
-    wide = without.withColumn("gap", F.least(F.lit(1800.0), F.greatest(F.lit(0.5), F.col("t") - F.lag("t").over(w)))).withColumn("n", F.count("*").over(Window.partitionBy("account_id")))
+    wide = without.withColumn("gap", _clamped(w)).withColumn("n", F.count("*").over(Window.partitionBy("account_id")))
     wide = wide.filter("gap IS NOT NULL OR n = 1").select("account_id", F.coalesce("gap", F.lit(1800.0)).alias("gap"))
     return inside.select("account_id", "gap").union(wide)
 

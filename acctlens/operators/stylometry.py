@@ -50,10 +50,11 @@ def function_words(messages: DataFrame, words) -> DataFrame:
 
 def plain_grams(messages: DataFrame, size: int = 2) -> DataFrame:
     """(account_id, message_id, gram, n): unhashed character n-grams, by splitting into characters once."""
-    chars = F.split("text", "")
-    at = F.sequence(F.lit(1), F.length("text") - size + 1)
-    rows = messages.filter(F.length("text") >= size).select("account_id", "message_id", chars.alias("c"), F.explode(at).alias("i"))
-    rows = rows.select("account_id", "message_id", F.array_join(F.slice("c", F.col("i"), size), "").alias("gram"))
+    # Shifted copies are zipped inside the row; exploding positions would copy the whole array to each.
+    chars = grams = F.split("text", "")
+    for k in range(1, size):
+        grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.length("text") - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    rows = messages.filter(F.length("text") >= size).select("account_id", "message_id", F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("gram"))
     return rows.groupBy("account_id", "message_id", "gram").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import EV, SES12, SMALL, A, B, C, E, K, P, S, V, _all_pairs, _ev, _k, _rounded, query, r
 
-TAU = "6.283185307179586"
+TAU = "6.283185307179586e0"
 E_SQL = f"{SES12}, e AS (SELECT account_id, session, seq, t, len FROM ses)"
 
 
@@ -198,7 +198,8 @@ _PAIRS = f"""pr AS (SELECT p.account_id AS a, q.account_id AS b, least(1.0, grea
 
 
 def _features(spark, d):
-    return K.features(_k(spark, d))
+    # Ten blocks read the events; they are kept, so that sessions are found once.
+    return K.features(_k(spark, d).persist())
 
 
 @query(f"{FEATURES} SELECT account_id, CAST(idx AS INTEGER) AS idx, round(value + 1e-9, 5) AS value FROM feat")

@@ -60,7 +60,7 @@ class Index:
         self.words = [words[a:b] for a, b in zip(cut[:-1], cut[1:])]
         self.split = [question_length(t or "") for _, t in items]
         self.block = block
-        n, size = len(items), np.array([len(w) for w in self.words])
+        n, size = len(items), np.array([len(w) for w in self.words], np.int64)
         self.terms = np.unique(words)
         item = np.repeat(np.arange(n), size)
         pair, tf = np.unique((np.searchsorted(self.terms, words) * max(1, n)) + item, return_counts=True)
@@ -77,50 +77,56 @@ class Index:
         np.maximum.at(most, which, self.impact)
         self.b_most, self.b_block = most, key % max(1, self.blocks)
         self.b_first = np.searchsorted(key // max(1, self.blocks), np.arange(len(self.terms) + 1))
-        self.t_most = np.array([most[a:b].max() for a, b in zip(self.b_first[:-1], self.b_first[1:])])
-
-    def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that score at least `least` for the distinct terms, by block-max WAND."""
-        end = 1 << 60
-        cursors = [[int(self.first[t]), int(self.first[t + 1]), t] for t in terms]
-        item, block, out = self.item, self.block, []
-        at = lambda c: int(item[c[0]]) if c[0] < c[1] else end
-
-        def bound(t: int, b: int) -> tuple[float, int]:
-            """The term's bound in block b, or in the next one that it has (0 where that is not b), and that block's number."""
-            k = self.b_first[t] + np.searchsorted(self.b_block[self.b_first[t] : self.b_first[t + 1]], b)
-            if k == self.b_first[t + 1] or self.b_block[k] != b:
-                return 0.0, b
-            return float(self.b_most[k]), b
-
-        while True:
-            cursors = sorted((c for c in cursors if c[0] < c[1]), key=at)
-            total, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                total += self.t_most[c[2]]
-                if total >= least - 1e-12:
-                    pivot = at(c)
+        self.b_key, self.item_list = key, item.tolist()
+        self.b_start = np.concatenate((np.searchsorted(which, np.arange(len(key))), [len(item)]))
+
+    def search(self, terms: np.ndarray, least: float, blocks=None) -> list[tuple[int, float]]:
+        """(item, score) of all items that score at least `least` for the distinct terms, by block-max WAND.
+
+        Only blocks whose bounds of all terms reach `least` are entered (`blocks`, if they are known already).
+        Within one, a cursor for each term stands on its next item; an item is scored only where the bounds of
+        the terms that have got to it suffice.
+        """
+        if blocks is None:
+            blocks = np.flatnonzero(self.bounds(terms) >= least - 1e-9)
+        out = []
+        for b in blocks:
+            key = terms * self.blocks + b
+            k = np.minimum(np.searchsorted(self.b_key, key), len(self.b_key) - 1)
+            k = k[self.b_key[k] == key]
+            cursors = [[int(i), int(j), m] for i, j, m in zip(self.b_start[k], self.b_start[k + 1], self.b_most[k].tolist())]
+            while cursors:
+                cursors.sort(key=lambda c: self.item_list[c[0]])
+                total, pivot = 0.0, None
+                for c in cursors:
+                    total += c[2]
+                    if total >= least - 1e-12:
+                        pivot = self.item_list[c[0]]
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                return out
-            upto = [c for c in cursors if at(c) <= pivot]
-            b = pivot // block
-            if sum(bound(c[2], b)[0] for c in upto) < least - 1e-12:
-                # No item of this block can do with these terms; go on at the block's end or at the next term's item.
-                beyond = [at(c) for c in cursors if at(c) > pivot]
-                to = min([(b + 1) * block, *beyond])
-            elif at(cursors[0]) == pivot:
-                score = sum(float(self.impact[c[0]]) for c in upto)
-                if score >= least:
-                    out.append((pivot, score))
-                to = pivot + 1
-            else:
-                to = pivot
-            for c in upto:
-                c[0] += int(np.searchsorted(item[c[0] : c[1]], to))
+                if self.item_list[cursors[0][0]] == pivot:
+                    here = [c for c in cursors if self.item_list[c[0]] == pivot]
+                    score = sum(float(self.impact[c[0]]) for c in here)
+                    if score >= least:
+                        out.append((pivot, score))
+                    to = pivot + 1
+                else:
+                    to = pivot
+                for c in cursors:
+                    while c[0] < c[1] and self.item_list[c[0]] < to:
+                        c[0] += 1
+                cursors = [c for c in cursors if c[0] < c[1]]
+        return out
+
+    def bounds(self, terms: np.ndarray) -> np.ndarray:
+        """For each block what its best item could score at most."""
+        n = self.b_first[terms + 1] - self.b_first[terms]
+        k = np.arange(n.sum()) + np.repeat(self.b_first[terms] - np.cumsum(n) + n, n)
+        return np.bincount(self.b_block[k], self.b_most[k], self.blocks)
 
     def passages(self, words: np.ndarray, cut: np.ndarray, least: float, half: int = HALF):
-        """Yields (text, first word, end, distinct terms) of every passage whose block bounds reach `least`."""
+        """Yields (text, first word, end, distinct terms, blocks) of every passage, with the blocks whose bounds reach `least`, if any do."""
         if not len(self.terms) or not len(words):
             return
         where = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
@@ -146,11 +152,12 @@ class Index:
             n = self.b_first[t[a:b] + 1] - self.b_first[t[a:b]]
             k = np.arange(n.sum()) + np.repeat(self.b_first[t[a:b]] - np.cumsum(n) + n, n)
             bounds = np.bincount((np.repeat(p[a:b], n) - lo) * self.blocks + self.b_block[k], self.b_most[k], rows * self.blocks)
-            for q in lo + np.flatnonzero(bounds.reshape(rows, self.blocks).max(axis=1) >= least - 1e-9):
+            bounds = bounds.reshape(rows, self.blocks) >= least - 1e-9
+            for q in lo + np.flatnonzero(bounds.any(axis=1)):
                 d = int(np.searchsorted(base, q, "right")) - 1
                 i, j = np.searchsorted(p, [q, q + 1])
                 first = int(cut[d]) + (int(q) - int(base[d])) * half
-                yield d, first, min(first + 2 * half, int(cut[d + 1])), t[i:j]
+                yield d, first, min(first + 2 * half, int(cut[d + 1])), t[i:j], np.flatnonzero(bounds[q - lo])
 
     def overlap(self, words: np.ndarray, item: int) -> tuple[float, float, float]:
         """Shares of the shingles of the item's question, answer and both that `words` has."""
@@ -165,8 +172,8 @@ class Index:
     def leaks(self, words: np.ndarray, cut: np.ndarray, least_score: float, least_overlap: float) -> dict:
         """(text, item) -> (score, question overlap, answer overlap) of the verified ones."""
         out: dict = {}
-        for d, first, end, terms in self.passages(words, cut, least_score):
-            for item, score in self.search(terms, least_score):
+        for d, first, end, terms, blocks in self.passages(words, cut, least_score):
+            for item, score in self.search(terms, least_score, blocks):
                 more = len(self.words[item])
                 q, a, both = self.overlap(words[max(int(cut[d]), first - more) : min(int(cut[d + 1]), end + more)], item)
                 if (q >= least_overlap and a >= least_overlap) or both >= least_overlap:

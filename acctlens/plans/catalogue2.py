@@ -218,9 +218,10 @@ def _vectors(spark, d) -> DataFrame:
     return K.vectors(f, K.fit(f))
 
 
-@query(f"{FEATURES}, {_VECTOR} SELECT account_id, CAST(idx AS INTEGER) AS idx, round(w + 1e-9, 4) AS w FROM vec")
+@query(f"{FEATURES}, {_VECTOR} SELECT account_id, CAST(idx AS INTEGER) AS idx, CASE WHEN round(w + 1e-9, 4) = 0 THEN 0.0 ELSE round(w + 1e-9, 4) END AS w FROM vec")
 def chrono_vector(spark, d):
-    return _vectors(spark, d).select("account_id", "idx", r("w", 4).alias("w"))
+    w = r("w", 4)
+    return _vectors(spark, d).select("account_id", "idx", F.when(w == 0, 0.0).otherwise(w).alias("w"))
 
 
 def _shortlist_pairs(spark, d):

@@ -18,6 +18,8 @@ from ._common import materialize, scratch_dir, table
 MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 1000
+#: Most revisits (two longs each) that are broadcast to the pages, which then aren't shuffled; more are joined by a shuffle.
+BROADCAST_REVISITS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -40,7 +42,9 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     largest page_id become revisits without payload; line ends in a url are dropped, and a null url becomes
     a urn; rows with a null page_id are responses of their own.
     """
-    later = revisits(pages, least).withColumnRenamed("page_id", "r_page_id")
+    later = materialize(revisits(pages, least).withColumnRenamed("page_id", "r_page_id"), "warc-revisits")
+    if later.count() <= BROADCAST_REVISITS:
+        later = F.broadcast(later)
     html = F.coalesce("html", F.lit(""))
     page = F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit(""))
     first = F.col("refers_to").isNull()

@@ -20,6 +20,8 @@ MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 LEAST_REVISIT = 1000
 #: Most revisits (two longs each) that are broadcast to the pages, which then aren't shuffled; more are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
+#: Most pieces (offsets and a file name) of records with version lines inside that are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_PIECES = 50_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -131,7 +133,9 @@ def _spread(placed: DataFrame, pieces: DataFrame, records: DataFrame, field) ->
     """The records that cover several pieces, with their payload's length and digest."""
     owner = placed.join(records, (F.col("file") == F.col("r_file")) & (F.col("at") >= F.col("record")) & (F.col("at") < F.col("next")))
     parts = owner.select("file", "split", "k", "at", "record", "page_id", "record_type", "refers_to", "said")
-    texts = parts.join(pieces, ["file", "split", "k"])
+    # The pieces hold the archives' whole text; they are shuffled only where very many of them belong to such records.
+    parts = materialize(parts, "warc-parts")
+    texts = (F.broadcast(parts) if parts.count() <= BROADCAST_PIECES else parts).join(pieces, ["file", "split", "k"])
     whole = texts.groupBy("file", "record", "page_id", "record_type", "refers_to", "said").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
     whole = whole.select("page_id", "record_type", "refers_to", "said", F.array_join(F.transform("v", lambda x: x["value"]), MAGIC).alias("value"))
     h = whole.withColumn("h", F.substring_index("value", GAP, 1)).withColumn("length", field("Content-Length").cast("int"))

@@ -212,6 +212,32 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(16)
+    pairs = []
+    for n in (5, 6, 7, 8, 9, 10, 12, 15, 20, 27, 40, 80):
+        for share in (0.02, 0.1, 0.15):
+            for _ in range(4):
+                a = [f"w{rng.randrange(10**4):04}" for _ in range(n)]
+                b = list(a)
+                for k in rng.sample(range(n), max(1, int(n * share))):
+                    b[k] = f"q{rng.randrange(10**4):04}"
+                a, b = " ".join(a), " ".join(b)
+                if plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
+                    pairs.append((a, b))
+    got = {r.doc_id: r.dropped for r in line_dedup.duplicates(docs_of(spark, [t for p in pairs for t in p])).collect()}
+    assert len(pairs) > 100 and got == {2 * i + 1: [0] for i in range(len(pairs))}
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     texts = [sentence(rng, rng.randint(1, 30)) for _ in range(600)] + [None, ""]

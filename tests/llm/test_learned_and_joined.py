@@ -238,6 +238,12 @@ def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
     assert len(pairs) > 100 and got == {2 * i + 1: [0] for i in range(len(pairs))}
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert out == {0: (texts[0], 0), 1: ("\n \nhome  Home", 2), 2: (texts[2], 0), 3: (None, 0)}
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     texts = [sentence(rng, rng.randint(1, 30)) for _ in range(600)] + [None, ""]

@@ -1,6 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
-Every passage of every document (overlapping windows of words) is a query. All items that score at least
+Every passage of every document (overlapping windows of words) is a query. Half a passage has at least as many
+words as the items that it is searched for, so that a copy of an item lies within one passage: items of up to
+HALF words are one collection, and those of up to 2, 4, ... times as many are others with longer passages. All items that score at least
 `least_score` of what they score against themselves are retrieved, then verified by the 5-word shingles of
 their question and answer. Block bounds are first summed for many passages at once, which rules out most of
 them exactly; the others are searched one by one, document at a time, with skipping by block bounds.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import materialize, prefix_hash, slices, span_hash, spans, table
 
 K1, B = 1.2, 0.75
-#: Items of a block, words of half a passage, least share of an item's own score, and least shingle overlap.
+#: Items of a block, words of half a passage (more for longer items), least share of an item's own score, and least shingle overlap.
 BLOCK, HALF, LEAST_SCORE, LEAST_OVERLAP, WIDTH = 4, 64, 0.5, 0.8, 5
 #: Most bytes of item texts in one broadcast index; more items are searched shard by shard.
 SHARD_BYTES = 16 << 20
@@ -47,6 +49,14 @@ def question_length(text: str) -> int:
     return whole - max(1, whole // 3) if whole > 1 else whole
 
 
+def half_for(n_words: int) -> int:
+    """Words of half a passage for an item of n_words: HALF, or so many doublings of it that the item has no more."""
+    half = HALF
+    while half < n_words:
+        half *= 2
+    return half
+
+
 def shingles(words: np.ndarray, width: int) -> set[bytes]:
     return {words[i : i + width].tobytes() for i in range(len(words) - width + 1)}
 
@@ -169,10 +179,10 @@ class Index:
             share.append((len(own & shingles(words, width)), len(own)))
         return tuple(hit / n if n else 1.0 for hit, n in share) + (sum(h for h, _ in share) / max(1, sum(n for _, n in share)),)
 
-    def leaks(self, words: np.ndarray, cut: np.ndarray, least_score: float, least_overlap: float) -> dict:
+    def leaks(self, words: np.ndarray, cut: np.ndarray, least_score: float, least_overlap: float, half: int = HALF) -> dict:
         """(text, item) -> (score, question overlap, answer overlap) of the verified ones."""
         out: dict = {}
-        for d, first, end, terms, blocks in self.passages(words, cut, least_score):
+        for d, first, end, terms, blocks in self.passages(words, cut, least_score, half):
             for item, score in self.search(terms, least_score, blocks):
                 more = len(self.words[item])
                 q, a, both = self.overlap(words[max(int(cut[d]), first - more) : min(int(cut[d + 1]), end + more)], item)
@@ -184,8 +194,8 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents with a passage that holds a test item.
 
-    Items are collected and broadcast in shards of about shard_bytes of text, each of which is a BM25
-    collection by itself; each shard is searched with every passage of every document. Items without words or
+    Items are collected and broadcast in shards of about shard_bytes of text. Its items of each class of length
+    (see half_for) are a BM25 collection by themselves; each shard is searched with every passage of every document. Items without words or
     with a null id and documents without words or a null doc_id match nothing; repeated rows of either give
     one row; empty tables give an empty result; further columns are ignored.
     """
@@ -198,16 +208,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
     found = None
     for s in range(shards):
         part = sorted((r.item_id, r.text) for r in own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).toLocalIterator())
-        index = Index([x for x in part if len(hashed_words([x[1]])[0])])
-        held = spark.sparkContext.broadcast(index)
+        by_half: dict = {}
+        for x in part:
+            if n := len(hashed_words([x[1]])[0]):
+                by_half.setdefault(half_for(n), []).append(x)
+        held = spark.sparkContext.broadcast([(half, Index(x)) for half, x in sorted(by_half.items())])
 
         def search(batches, held=held):
             for batch in batches:
                 for b in slices(batch, 2 << 20):
                     words, cut = hashed_words(b.column(1).to_pylist())
-                    got = held.value.leaks(words, cut, least_score, least_overlap)
                     ids = b.column(0).to_pylist()
-                    flat = [(ids[d], held.value.ids[i], *x) for (d, i), x in sorted(got.items())]
+                    flat = []
+                    for half, index in held.value:
+                        got = index.leaks(words, cut, least_score, least_overlap, half)
+                        flat += [(ids[d], index.ids[i], *x) for (d, i), x in sorted(got.items())]
                     columns = [pa.array(list(c), k) for c, k in zip(zip(*flat) if flat else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

@@ -149,6 +149,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(14)
+    items = [(k, sentence(rng, n - 8, 10**6) + ". " + sentence(rng, 8, 10**6) + ".") for k, n in enumerate((20, 64, 65, 129, 300, 400, 1000, 1000))]
+    texts = [sentence(rng, rng.randint(0, 700), 10**6) + " " + t + " " + sentence(rng, rng.randint(0, 700), 10**6) for _, t in items[:-1] for _ in range(3)]
+    texts += [items[7][1][: len(items[7][1]) // 2], sentence(rng, 3000, 10**6), None]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for shard in (1 << 24, 3_000):
+        got = decontaminate.contaminated(docs_of(spark, texts), table, shard_bytes=shard).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i // 3) for i in range(21)]
+        assert all(r.question_overlap == r.answer_overlap == 1 and r.score == pytest.approx(1) for r in got)
+
+
 def test_block_max_wand_finds_all_above_the_threshold():
     rng = random.Random(5)
     index = decontaminate.Index([(k, sentence(rng, rng.randint(3, 30), 60)) for k in range(90)])

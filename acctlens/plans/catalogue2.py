@@ -333,7 +333,7 @@ def base_rate(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return _rounded(E.bootstrap(_lab(spark, d), 20.0, n=200))
+    return _rounded(E.bootstrap(_lab(spark, d), 20.0))
 
 
 @query()

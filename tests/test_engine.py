@@ -173,3 +173,22 @@ def test_stream_sessions(spark, tmp_path):
     (tmp_path / "in/1.json").write_text("\n".join(f'{{"account_id":"{a}","ts":"{t}","text":"xy","is_system":false}}' for a, t in rows))
     run_once(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     assert sorted((r.account_id, r.n_messages) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("a", 1), ("a", 2)]
+
+
+def test_bootstrap_ci_takes_as_many_resamples_as_the_reference(monkeypatch):
+    import inspect
+
+    from acctlens.plans import catalogue2
+
+    seen, shape = [], inspect.signature(E.bootstrap)
+
+    def noted(*a, **b):
+        call = shape.bind(*a, **b)
+        call.apply_defaults()
+        seen.append(call.arguments["n"])
+
+    monkeypatch.setattr(E, "bootstrap", noted)
+    monkeypatch.setattr(catalogue2, "_lab", lambda spark, d: None)
+    monkeypatch.setattr(catalogue2, "_rounded", lambda rows: rows)
+    catalogue2.bootstrap_ci(None, "")
+    assert seen == [1000]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, a local one in local mode (tests); an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         where = "file://" + tempfile.mkdtemp(prefix="acctlens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -36,6 +40,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `materialize` returned. Nothing may read them afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column (upper and lower case count as equal)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(column: str, k: int):
     """crc32 of the id's text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
@@ -93,11 +114,7 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch, most: int = 4 << 20):
     """Parts of an Arrow batch whose texts (column 1, binary) come to about `most` bytes each; a longer text is a part by itself."""
-    size = np.array([len(t) if t is not None else 0 for t in batch.column(1)], np.int64) if batch.num_rows < 2 else None
-    if size is None:
-        import pyarrow.compute as pc
-
-        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(size):
         if i > start and total + n > most:

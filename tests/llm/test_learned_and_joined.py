@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from acctlens.llm import decontaminate, line_dedup, lm_scoring, mixing, quality, toxicity, warc
 
@@ -177,60 +178,92 @@ def test_block_max_wand_finds_all_above_the_threshold():
 
 
 def test_line_dedup_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BUCKETS", 0)
+    """Every group that plain edit similarity of all pairs gives, on lines that share words and passages, by the shuffled joins."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BLOCKS", 0)
     rng = random.Random(6)
-    base = [sentence(rng, 40) for _ in range(20)]
+    base = [sentence(rng, 40, 10**5) for _ in range(20)]
+    passage = sentence(rng, 12, 10**5)
     lines = []
     for _ in range(140):
         words = rng.choice(base).split()
         for _ in range(rng.randint(0, 2)):
             words[rng.randrange(40)] = f"n{rng.randrange(10**6)}q"
         lines.append("  ".join(words) if rng.random() < 0.2 else " ".join(words).capitalize())
-    texts = ["\n".join([*lines[i : i + 4], "short line", ""]) for i in range(0, 140, 4)] + [None, "", "one\none", "w " * 30_000, lines[0]]
-    df = docs_of(spark, texts)
-    occ = [(r.doc_id, r.line, r.h, r.sim) for r in line_dedup.occurrences(df).collect()]
-    text_of = {h: " ".join((texts[d] or "").split("\n")[k].lower().split()) for d, k, h, _ in occ}
-    sim = {h: s for *_, h, s in occ}
-
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
-
-    at = {h: h for h in sim}
-
-    def top(h):
-        while at[h] != h:
-            h = at[h]
-        return h
-
-    for a, b in itertools.combinations(sim, 2):
-        if ((sim[a] ^ sim[b]) & (2**64 - 1)).bit_count() <= 3 and lev(text_of[a], text_of[b]) <= 0.2 * max(len(text_of[a]), len(text_of[b])):
+    lines += [f"{sentence(rng, 15, 10**5)} {passage} {sentence(rng, 15, 10**5)}" for _ in range(40)]
+    texts = ["\n".join([*lines[i : i + 4], "short line", ""]) for i in range(0, 180, 4)] + [None, "", "one\none", "w " * 30_000, lines[0]]
+    rows = [(i, t, "en", "a", 0, 1, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[3], (None, lines[0], "en", "a", 0, 1, "x")], DOCS)
+    occ = {(d, k): " ".join(x.lower().split()) for d, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.split()}
+    at = {t: t for t in occ.values()}
+
+    def top(t):
+        while at[t] != t:
+            t = at[t]
+        return t
+
+    for a, b in itertools.combinations(at, 2):
+        if len(a.split()) >= 5 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and top(a) != top(b) and plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
             at[top(a)] = top(b)
     first = {}
-    for d, k, h, _ in sorted(occ):
-        first.setdefault(top(h), (d, k))
-    gone = {(d, k) for d, k, h, _ in occ if first[top(h)] != (d, k)}
+    for p, t in sorted(occ.items()):
+        first.setdefault(top(t), p)
+    gone = {p for p, t in occ.items() if first[top(t)] != p}
     got = {(r.doc_id, k) for r in line_dedup.duplicates(df).collect() for k in r.dropped}
-    assert got == gone and len({top(h) for h in sim}) < len(sim)
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert len(out) == len(texts)
-    for i, t in enumerate(texts):
-        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
-        assert out[i].text == kept and out[i].n_dropped == sum(d == i for d, _ in gone)
+    assert got == gone and len(first) < len(at)
+    out = line_dedup.dedup_lines(df).collect()
+    assert len(out) == len(texts) + 2 and Counter(r.doc_id for r in out)[3] == 2
+    for r in out:
+        t = lines[0] if r.doc_id is None else texts[r.doc_id]
+        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (r.doc_id, k) not in gone)
+        assert r.text == kept and r.n_dropped == sum(d == r.doc_id for d, _ in gone) and r.fp in ("clash", "x")
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    odd = line_dedup.dedup_lines(df.withColumnsRenamed({"fp": "gone_doc_id", "h": "gone_lines"}).withColumn("n_lines", F.lit("x")))
+    assert {(r.doc_id, r.text, r.gone_doc_id) for r in odd.collect()} == {(r.doc_id, r.text, r.fp) for r in out}
+
+
+def test_line_dedup_recall(spark):
+    """At least nine tenths of random pairs at every share of changed words up to the least similarity, at every length."""
+    rng = random.Random(26)
+    pairs, kind = [], []
+    for n in (5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 50, 80, 200):
+        for share in (0.02, 0.05, 0.1, 0.15, 0.2):
+            for _ in range(12):
+                a = [f"w{rng.randrange(10**4):04}" for _ in range(n)]
+                b = list(a)
+                for k in rng.sample(range(n), max(1, int(n * share))):
+                    change = rng.random()
+                    b[k] = f"q{rng.randrange(10**4):04}" if change < 0.6 else "" if change < 0.8 else b[k] + f" z{rng.randrange(100)}"
+                a, b = " ".join(a), " ".join(" ".join(b).split())
+                if a != b and plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
+                    pairs.append((a, b))
+                    kind.append((n, share))
+    gone = {r.doc_id for r in line_dedup.duplicates(docs_of(spark, [t for p in pairs for t in p])).collect()}
+    found, all_ = Counter(), Counter()
+    for i, k in enumerate(kind):
+        for name in (k[0], k[1], "all"):
+            all_[name] += 1
+            found[name] += 2 * i + 1 in gone
+    shares = {k: round(found[k] / all_[k], 2) for k in all_}
+    assert gone <= {2 * i + 1 for i in range(len(pairs))} and shares["all"] >= 0.95 and min(shares.values()) >= 0.9, shares
 
 
 def plain_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+    """Edit distance, a column of the table at a time, kept as bits of its steps."""
+    where = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << max(0, len(a) - 1)
+    up, down, d = full, 0, len(a)
+    if not a:
+        return len(b)
+    for y in b:
+        m = where.get(y, 0)
+        zero = (((m & up) + up) ^ up) | m | down
+        more, less = down | ~(zero | up) & full, up & zero
+        d += (more & top > 0) - (less & top > 0)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(zero | more)) & full, more & zero & full
+    return d
 
 
 def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
@@ -247,7 +280,7 @@ def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
                 if plain_distance(a, b) <= 0.2 * max(len(a), len(b)):
                     pairs.append((a, b))
     got = {r.doc_id: r.dropped for r in line_dedup.duplicates(docs_of(spark, [t for p in pairs for t in p])).collect()}
-    assert len(pairs) > 100 and got == {2 * i + 1: [0] for i in range(len(pairs))}
+    assert len(pairs) > 100 and set(got) <= {2 * i + 1 for i in range(len(pairs))} and len(got) >= 0.97 * len(pairs)
 
 
 def test_line_dedup_of_short_lines(spark):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running
+
 ENGINES = ("stylometry", "semantic", "chronobiology")
 WEIGHTS = (0.40, 0.35, 0.25)
 EPSILON = 0.0005
@@ -13,20 +15,16 @@ EPSILON = 0.0005
 def percentile(baseline: DataFrame, queries: DataFrame, value: str = "cosine") -> DataFrame:
     """queries with `percentile`: 100 times the share of baseline values at or below theirs.
 
-    Values within 1e-9 outside [-1, 1] are clamped; others farther out get null. Equal values are first
-    counted; the running count then goes over distinct values by ranges whose offsets are summed apart,
-    so neither side is sorted in one task.
+    Values within 1e-9 outside [-1, 1] are clamped; others farther out get null (a result's status tells it).
+    Equal values are first counted; the running count goes over ranges of distinct values, so neither side is
+    sorted in one task.
     """
     x = F.col(value)
     inside = F.when(x.between(-1 - 1e-9, 1 + 1e-9), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
     counts = baseline.groupBy(x.alias("v")).agg(F.count("*").alias("n"))
     asked = queries.select(inside.alias("v")).filter("v IS NOT NULL").distinct()
     both = counts.select("v", "n").unionByName(asked.select("v", F.lit(0).cast("long").alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
-    cell = F.floor((F.col("v") + 1) * 512)
-    both = both.withColumn("cell", cell)
-    cells = both.groupBy("cell").agg(F.sum("n").alias("c"))  # 1025 at most
-    before = cells.select("cell", (F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("c")).alias("before"))
-    run = both.join(F.broadcast(before), "cell").withColumn("rank", F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
+    run = running(both, "v", {"rank": "n"})
     total = baseline.agg(F.count("*").alias("total"))
     ranked = run.select(F.col("v").alias("q_v"), "rank").crossJoin(F.broadcast(total))
     out = queries.withColumn("q", inside).join(ranked, F.col("q") == F.col("q_v"), "left")

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running
+from ..schemas import ContractError, ErrorCode
+from .graph import components
+
 
 def by_score(rows: DataFrame) -> DataFrame:
     """(score, pos, neg): counts at each distinct score, the common input of the metrics."""
@@ -15,9 +19,8 @@ def by_score(rows: DataFrame) -> DataFrame:
 
 
 def _running(scores: DataFrame) -> DataFrame:
-    """scores with tp and fp: counts at or above each score. The window goes over distinct scores, a row each."""
-    down = Window.orderBy(F.desc("score"))
-    return scores.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    """scores with tp and fp: counts at or above each score."""
+    return running(scores, "score", {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
@@ -82,14 +85,17 @@ def _rate(rows, threshold, which):
 
 
 def bootstrap(rows: DataFrame, threshold: float, n: int = 1000, level: float = 0.95, seed: int = 1729) -> DataFrame:
-    """(metric, low, high): percentile intervals. The rows are one evaluation's pairs, so each metric is one group
-    of a grouped map; resamples follow Python's generator so that results can be repeated elsewhere."""
+    """(metric, low, high): percentile intervals. The rows are one evaluation's pairs (50,000 at most by contract), so each metric
+    is one group of a grouped map; resamples follow Python's generator, over the pairs in the order of their accounts
+    where these are given (columns a and b), else of their scores, so that results can be repeated elsewhere."""
+    keys = ["a", "b"] if {"a", "b"} <= set(rows.columns) else ["score", "is_same"]
     metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(i).alias("offset")) for i, m in enumerate(("roc_auc", "precision", "recall"))]))
-    spread = rows.select("score", "is_same", metrics.alias("m")).select("score", "is_same", "m.*")
+    spread = rows.select("score", "is_same", F.struct(*keys).alias("k"), metrics.alias("m")).select("score", "is_same", *[F.col(f"k.{c}").alias(f"k{i}") for i, c in enumerate(keys)], "m.*")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         metric, rng = group.metric.iloc[0], random.Random(seed + int(group.offset.iloc[0]))
-        own = sorted(zip(group.score.tolist(), group.is_same.tolist()))
+        group = group.sort_values(["k0", "k1"], kind="stable")
+        own = list(zip(group.score.tolist(), group.is_same.tolist()))
         values = []
         for _ in range(n):
             sample = [rng.choice(own) for _ in own]
@@ -106,28 +112,9 @@ def bootstrap(rows: DataFrame, threshold: float, n: int = 1000, level: float = 0
     return spread.groupBy("metric").applyInPandas(one, "metric string, low double, high double")
 
 
-def same_components(edges: DataFrame, nodes: DataFrame, folder: str, most: int = 60) -> DataFrame:
-    """(node, component) over same-edges (a, b), singletons included: least labels spread along edges, with shortcuts.
-
-    Each round is written below `folder`, which cuts the lineage.
-    """
-    spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().toDF("a", "b")
-    both.write.mode("overwrite").parquet(f"{folder}/edges")
-    both = spark.read.schema(both.schema).parquet(f"{folder}/edges")
-    label = nodes.select(F.col("node"), F.col("node").alias("component")).distinct()
-    for k in range(most):
-        seen = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = label.join(seen, F.col("a") == F.col("node"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
-        hop = step.select(F.col("node").alias("h"), F.col("component").alias("up"))
-        step = step.join(hop, F.col("h") == F.col("component"), "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
-        step.write.mode("overwrite").parquet(f"{folder}/labels{k % 2}-{k}")
-        new = spark.read.schema(step.schema).parquet(f"{folder}/labels{k % 2}-{k}")
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").filter("old <> component").isEmpty()
-        label = new
-        if changed:
-            return label
-    raise RuntimeError("same_components: no end")
+def same_components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
+    """(node, component) over same-edges (a, b), singletons included; see `graph.components`."""
+    return components(edges, nodes, folder)
 
 
 def split_components(components: DataFrame, fractions=(0.6, 0.2, 0.2), seed: int = 1729) -> DataFrame:
@@ -142,3 +129,66 @@ def split_components(components: DataFrame, fractions=(0.6, 0.2, 0.2), seed: int
     part = lambda i: next(("train", "validation", "test")[k] for k, f in enumerate((fractions[0], fractions[0] + fractions[1], 2.0)) if (i + 0.5) / len(groups) < f)
     dealt = spark.createDataFrame([(g, part(i)) for i, g in enumerate(groups)], components.select("component").schema.add("part", "string"))
     return components.join(dealt, "component").select("node", "part")
+
+
+def held_out(labelled: DataFrame, folder: str, fractions=(0.6, 0.2, 0.2), seed: int = 1729) -> tuple[DataFrame, DataFrame]:
+    """((node, part) of every labelled account; labelled pairs (a, b, label) with their part). Accounts that belong together share a part; pairs across parts are left out."""
+    nodes = labelled.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    dealt = split_components(same_components(labelled.filter("label = 'same'"), nodes, folder), fractions, seed)
+    side = lambda s: dealt.select(F.col("node").alias(s), F.col("part").alias(f"part_{s}"))
+    pairs = labelled.join(side("a"), "a").join(side("b"), "b").filter("part_a = part_b").select("a", "b", "label", F.col("part_a").alias("part"))
+    return dealt, pairs
+
+
+def engine_report(rows: DataFrame, engine: str, min_precision: float = 0.80, n_bootstrap: int = 1000, level: float = 0.95, seed: int = 1729) -> DataFrame:
+    """One row of an engine's evaluation. rows: (a, b, part, is_same, score), the score null where the engine gave none.
+
+    The threshold is chosen on the validation pairs; all else is measured on the test pairs.
+    """
+    spark = rows.sparkSession
+    scored = rows.filter("score IS NOT NULL")
+    threshold, met = best_threshold(scored.filter("part = 'validation'"), min_precision).first()
+    test = scored.filter("part = 'test'").select("a", "b", "score", "is_same")
+    excluded = rows.filter("part = 'test' AND score IS NULL").count()
+    one = roc_auc(test).crossJoin(pr_auc(test)).crossJoin(precision_recall(test, threshold)).crossJoin(base_rate(test)).first().asDict()
+    bounds = {r.metric: (r.low, r.high) for r in bootstrap(test, threshold, n_bootstrap, level, seed).collect()} if one["support_same"] + one["support_different"] else {}
+    flat = {"engine": engine, "threshold": float(threshold), "met": bool(met), **one, "n_excluded": excluded}
+    for m in ("roc_auc", "precision", "recall"):
+        flat[f"{m}_low"], flat[f"{m}_high"] = bounds.get(m, (None, None))
+    doubles = ("roc_auc", "pr_auc", "precision", "recall", "base_rate")
+    schema = "engine string, threshold double, met boolean, " + ", ".join(f"{c} double" for c in doubles) + ", support_same long, support_different long, n_excluded long, " + ", ".join(f"{m}_{e} double" for m in ("roc_auc", "precision", "recall") for e in ("low", "high"))
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(flat[c] for c in names)], schema)
+
+
+def evaluate(labelled: DataFrame, profiles: DataFrame, fit, folder: str, minimum_messages: int, minimum_chars: int, fractions=(0.6, 0.2, 0.2), min_precision: float = 0.80, n_bootstrap: int = 1000, level: float = 0.95, seed: int = 1729) -> DataFrame:
+    """A row for each engine and one for their fusion: how well labelled pairs (a, b, label) are told apart on held-out accounts.
+
+    fit(accounts) gives {engine: vectors of all accounts}, fitted on these accounts (account_id) alone, the ready
+    ones of the training part. Baselines are the training part's known-different pairs of ready accounts; without any, an error.
+    """
+    from . import compare as cmp
+    from .baselines import canonical_pairs
+
+    labelled, conflicts = canonical_pairs(labelled)
+    if not conflicts.isEmpty():
+        raise ContractError("labels")
+    dealt, pairs = held_out(labelled, folder, fractions, seed)
+    ready = profiles.filter((F.col("status") == "READY") & (F.col("n_messages") >= minimum_messages) & (F.col("n_chars") >= minimum_chars)).select("account_id")
+    training = dealt.filter("part = 'train'").select(F.col("node").alias("account_id")).join(ready, "account_id", "left_semi")
+    different = pairs.filter("part = 'train' AND label = 'different'").join(ready.select(F.col("account_id").alias("a")), "a", "left_semi").join(ready.select(F.col("account_id").alias("b")), "b", "left_semi")
+    if different.isEmpty():
+        raise ContractError("training_baselines", ErrorCode.MINIMUMS_NOT_MET)
+    engines = []
+    for name, vectors in fit(training).items():
+        base = cmp.baseline_of(different, name, vectors, "train", minimum_messages, minimum_chars)
+        engines.append(cmp.Engine(name, vectors, "train", base, minimum_messages, minimum_chars))
+    asked = pairs.filter("part <> 'train'")
+    scored = cmp.compare(asked, profiles, engines).join(asked.select("a", "b", "part", (F.col("label") == "same").alias("is_same")), ["a", "b"])
+    scored.write.mode("overwrite").parquet(f"{folder}/scored")
+    scored = scored.sparkSession.read.schema(scored.schema).parquet(f"{folder}/scored")
+    out = None
+    for name, column in [*((e.name, f"{e.name}_percentile") for e in engines), ("combined", "combined_score")]:
+        one = engine_report(scored.select("a", "b", "part", "is_same", F.col(column).alias("score")), name, min_precision, n_bootstrap, level, seed)
+        out = one if out is None else out.union(one)
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import atomic_id, json_string, message_key
 from ..schemas import PrepSettings
 
 ORDER = ("us", "message_id", "game_id")
@@ -26,13 +29,13 @@ def hour_filter(messages: DataFrame, hours) -> DataFrame:
 def dedupe(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one message for each key, keys with differing payloads). The earliest (source_id, source_row) stays.
 
-    Payloads are compared within the same aggregation that picks the first row, so there is one shuffle.
+    Payloads are compared whole, by their least and greatest.
     """
-    payload = F.xxhash64("account_id", "channel_id", "us", "text", "is_system")
+    payload = F.struct("account_id", "channel_id", "us", "text", "is_system")
     first = F.row_number().over(Window.partitionBy("game_id", "message_id").orderBy("source_id", "source_row"))
     kept = messages.withColumn("rn", first).filter("rn = 1").drop("rn")
     marked = messages.groupBy("game_id", "message_id").agg(F.min(payload).alias("lo"), F.max(payload).alias("hi"), F.count("*").alias("n"))
-    return kept, marked.filter("lo <> hi").select("game_id", "message_id", "n")
+    return kept, marked.filter("NOT (lo <=> hi)").select("game_id", "message_id", "n")
 
 
 def sessions(messages: DataFrame, gap_minutes: int = 30) -> DataFrame:
@@ -49,25 +52,45 @@ def chunks_by_messages(sessioned: DataFrame, target: int) -> DataFrame:
     return sessioned.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / target).cast("int"))
 
 
-def _fold(lengths, target: int):
-    """Chunk numbers of messages of the given lengths: a chunk closes before one that would exceed the target, and once it reaches it."""
-    first = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, n):
-        spill = (a["filled"] > 0) & (a["filled"] + n > target)
-        chunk = a["chunk"] + spill.cast("int")
-        filled = F.when(spill, n).otherwise(a["filled"] + n)
-        full = filled >= target
-        return F.struct((chunk + full.cast("int")).alias("chunk"), F.when(full, 0).otherwise(filled).alias("filled"), F.concat(a["out"], F.array(chunk)).alias("out"))
-
-    return F.aggregate(lengths, first, step, lambda a: a["out"])
-
-
 def chunks_by_chars(sessioned: DataFrame, target: int) -> DataFrame:
-    """sessioned with chunk: greedy packing of whole messages into `target` characters, never across sessions."""
-    packed = sessioned.groupBy("account_id", "session").agg(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))).alias("m"))
-    packed = packed.select("account_id", "session", F.explode(F.arrays_zip(F.transform("m", lambda x: x["seq"]).alias("seq"), _fold(F.transform("m", lambda x: x["n"]), target).alias("chunk"))).alias("z"))
-    return sessioned.join(packed.select("account_id", "session", "z.seq", "z.chunk"), ["account_id", "session", "seq"])
+    """sessioned with chunk: greedy packing of whole messages into `target` characters, never across sessions.
+
+    A chunk closes before a message that would exceed the target, and once it reaches it. Messages stream
+    through in order with the state of one chunk, so a session may have any length.
+    """
+    schema = sessioned.withColumn("chunk", F.lit(0)).schema
+    at = [sessioned.columns.index(c) for c in ("account_id", "session", "text")]
+
+    def run(batches):
+        now, chunk, filled = None, 0, 0
+        for b in batches:
+            account, session, text = (b.column(i) for i in at)
+            out = []
+            for key, n in zip(zip(account.to_pylist(), session.to_pylist()), pc.utf8_length(text).to_pylist()):
+                if key != now:
+                    now, chunk, filled = key, 0, 0
+                n = n or 0
+                if filled and filled + n > target:
+                    chunk, filled = chunk + 1, 0
+                out.append(chunk)
+                filled += n
+                if filled >= target:
+                    chunk, filled = chunk + 1, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "chunk"])
+
+    ordered = sessioned.repartition("account_id", "session").sortWithinPartitions("account_id", "session", "seq")
+    return ordered.mapInArrow(run, schema)
+
+
+def with_ids(chunked: DataFrame) -> DataFrame:
+    """chunked messages with session_id and chunk_id: digests of the account, what they lie in, and their messages' keys in order."""
+    keyed = chunked.withColumn("key", message_key(F.col("game_id"), F.col("message_id")))
+    keys = lambda rows: F.transform(F.array_sort(rows), lambda x: x["key"])
+    per_session = keyed.groupBy("account_id", "session").agg(F.collect_list(F.struct("seq", "key")).alias("k"))
+    per_session = per_session.select("account_id", "session", atomic_id("session", F.col("account_id"), F.col("session").cast("string"), keys("k")).alias("session_id"))
+    per_chunk = keyed.groupBy("account_id", "session", "chunk").agg(F.collect_list(F.struct("seq", "key")).alias("k")).join(per_session, ["account_id", "session"])
+    per_chunk = per_chunk.select("account_id", "session", "chunk", "session_id", atomic_id("chunk", F.col("account_id"), json_string(F.col("session_id")), keys("k")).alias("chunk_id"))
+    return chunked.join(per_chunk, ["account_id", "session", "chunk"])
 
 
 def chunk_rows(chunked: DataFrame) -> DataFrame:

@@ -75,19 +75,19 @@ def pieces(word: str, vocab: dict[str, int], most: int = 100) -> list[int]:
 
 
 def windows(text: str, vocab: dict[str, int], max_tokens: int = 256) -> list[tuple[str, list[int]]]:
-    """Slices of the text of at most max_tokens - 2 pieces, cut between words; joined they give the text."""
+    """Slices of the text with their ids, [CLS] and [SEP] around at most max_tokens - 2 pieces, cut between words; joined they give the text."""
     room, out, begin, held = max_tokens - 2, [], 0, []
+    framed = lambda ids: [vocab["[CLS]"], *ids, vocab["[SEP]"]]
     if room < 1:
         raise ContractError("max_tokens", ErrorCode.INPUT_INVALID)
     for start, end in basic_tokens(text):
         ids = pieces(text[start:end], vocab)
-        ids = ids if len(ids) <= room else [vocab["[UNK]"]]
         if held and len(held) + len(ids) > room:
-            out.append((text[begin:start], held))
+            out.append((text[begin:start], framed(held)))
             begin, held = start, []
-        held = held + ids
+        held = held + (ids if len(ids) <= room else [vocab["[UNK]"]])
     if text[begin:] or not out:
-        out.append((text[begin:], held))
+        out.append((text[begin:], framed(held)))
     return out
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import sha256_of
 from ..functions.text import PUNCTUATION, alphabetic_tokens, hashed_grams
-from ..functions.vectors import unit
+from ..functions.vectors import standardize, unit
+from ..schemas import ContractError
 
 #: Dimensions of the structural block, and where the blocks begin in the joined vector.
 STRUCTURAL = 38
@@ -23,8 +29,8 @@ def message_counts(messages: DataFrame) -> DataFrame:
     cls = "".join(escape(c) for c in PUNCTUATION if c not in "_`'\"!%,:;<=>@#") + "_`'\"!%,:;<=>@#"
     return messages.select(
         "account_id", "message_id", F.length("text").alias("len"), _count(" (?= )").alias("double_space"), *marks,
-        _count(f"([{cls}])\\1+").alias("repeated"), _count(r"(?U)\p{Lu}").alias("upper"), _count(r"(?U)\p{IsAlphabetic}").alias("alpha"),
-        _count(r"(?U)(\p{IsAlphabetic})\1{2,}").alias("elongated"), _count(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]").alias("emoji"),
+        _count(f"\\.{{3,}}|\u2026|([{cls}])\\1+").alias("repeated"), _count(r"\p{Lu}").alias("upper"), _count(r"\p{L}").alias("alpha"),
+        _count(r"(\p{L})\1{2,}").alias("elongated"), _count(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]").alias("emoji"),
     )
 
 
@@ -39,9 +45,19 @@ def structural(messages: DataFrame) -> DataFrame:
     return g.select("account_id", F.explode(pairs).alias("p")).select("account_id", "p.idx", "p.value")
 
 
+def listed_words(words) -> tuple[list[str], str]:
+    """(the words as they are counted: casefolded, each once, sorted; digest of the list in NFC as it was given)."""
+    if isinstance(words, (str, bytes)) or any(not isinstance(w, str) for w in words):
+        raise ContractError("function_words")
+    given = sorted({unicodedata.normalize("NFC", w.strip()) for w in words})
+    if "" in given:
+        raise ContractError("function_words")
+    return sorted({w.casefold() for w in given}), sha256_of({"function_words": given, "language": "und"})
+
+
 def function_words(messages: DataFrame, words) -> DataFrame:
-    """(account_id, word, freq) for every word of the list, zeros included; freq is of all alphabetic tokens."""
-    listed = sorted({w.lower() for w in words})
+    """(account_id, word, freq) for every word of the list, zeros included; freq is of all alphabetic tokens, casefolded."""
+    listed, _ = listed_words(words)
     tokens = messages.select("account_id", F.explode(alphabetic_tokens(F.col("text"))).alias("token"))
     g = tokens.groupBy("account_id").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("token") == w, 1)).alias(f"w{i}") for i, w in enumerate(listed)])
     pairs = F.array(*[F.struct(F.lit(w).alias("word"), (F.col(f"w{i}") / F.col("n")).alias("freq")) for i, w in enumerate(listed)])
@@ -49,47 +65,58 @@ def function_words(messages: DataFrame, words) -> DataFrame:
 
 
 def plain_grams(messages: DataFrame, size: int = 2) -> DataFrame:
-    """(account_id, message_id, gram, n): unhashed character n-grams, by splitting into characters once."""
-    # Shifted copies are zipped inside the row; exploding positions would copy the whole array to each.
-    chars = grams = F.split("text", "")
-    for k in range(1, size):
-        grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.length("text") - k, F.lit(0))), lambda a, b: F.concat(a, b))
-    rows = messages.filter(F.length("text") >= size).select("account_id", "message_id", F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("gram"))
-    return rows.groupBy("account_id", "message_id", "gram").agg(F.count("*").alias("n"))
-
-
-def idf(grams: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
-    """(dim, df, idf) with messages as documents; grams has a row for each message and dim."""
-    g = grams.groupBy(dim).agg(F.count("*").alias("df"))
+    """(account_id, message_id, gram, n): unhashed character n-grams, counted once for each message in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for account, message, text in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(account, message, g, n) for g, n in Counter(map("".join, zip(*(text[k:] for k in range(size))))).items()] if text else []
+                if len(rows) > 200_000:
+                    yield _gram_batch(rows)
+                    rows = []
+            yield _gram_batch(rows)
+
+    return messages.select("account_id", "message_id", "text").mapInArrow(run, "account_id string, message_id string, gram string, n long")
+
+
+def _gram_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["account_id", "message_id", "gram", "n"])
+
+
+def account_grams(grams: DataFrame, dim: str = "gram") -> DataFrame:
+    """(account_id, dim, n, df): an account's counts, and in how many of its messages each is. Both the idf and the tf derive from it, so grams are shuffled once."""
+    return grams.groupBy("account_id", dim).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+
+
+def idf(counts: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
+    """(dim, df, idf) with messages as documents, from `account_grams`."""
+    g = counts.groupBy(dim).agg(F.sum("df").alias("df"))
     return g.withColumn("idf", F.ln((1 + F.lit(n_messages)) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(grams: DataFrame, idf_rows: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
-    """(account_id, idx, w): tf times idf, of unit length; a dim without idf has the largest one."""
-    tf = grams.groupBy("account_id", dim).agg(F.sum("n").alias("n"))
+def tfidf(counts: DataFrame, idf_rows: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
+    """(account_id, idx, w): tf times idf, of unit length, from `account_grams`; a dim without idf has the largest one."""
     total = Window.partitionBy("account_id")
     default = F.ln(1 + F.lit(n_messages).cast("double")) + 1
-    rows = tf.join(idf_rows.select(dim, "idf"), dim, "left").withColumn("w", F.col("n") / F.sum("n").over(total) * F.coalesce("idf", default))
+    rows = counts.select("account_id", dim, "n").join(idf_rows.select(dim, "idf"), dim, "left").withColumn("w", F.col("n") / F.sum("n").over(total) * F.coalesce("idf", default))
     return unit(rows.select("account_id", F.col(dim).alias("idx"), "w"))
 
 
-def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: int = 1729, space: int = 262_144) -> DataFrame:
+def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: int = 1729, space: int = 262_144, fitted_on: DataFrame | None = None) -> DataFrame:
     """(account_id, idx, w): the weighted blocks (hashed n-grams, structural, function words) as one unit vector.
 
-    The structural statistics and the idf are fitted on the messages given.
+    The structural statistics and the idf are fitted on the messages of the accounts `fitted_on` (account_id), or on all.
     """
-    from ..functions.vectors import standardize
-
-    grams = hashed_grams(messages, space=space, seed=seed)
-    n = messages.count()
-    first = tfidf(grams, idf(grams, n, "bucket"), n, "bucket").select("account_id", F.col("idx").cast("long").alias("idx"), (F.col("w") * weights[0]).alias("w"))
+    own = (lambda df: df) if fitted_on is None else (lambda df: df.join(fitted_on.select("account_id").distinct(), "account_id", "left_semi"))
+    counts = account_grams(hashed_grams(messages, space=space, seed=seed), "bucket")
+    n = own(messages).count()
+    first = tfidf(counts, idf(own(counts), n, "bucket"), n, "bucket").select("account_id", F.col("idx").cast("long").alias("idx"), (F.col("w") * weights[0]).alias("w"))
     rows = structural(messages)
-    stats = rows.groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = own(rows).groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     second = unit(standardize(rows, stats).select("account_id", "idx", F.col("z").alias("w"))).select("account_id", (F.col("idx") + space).cast("long").alias("idx"), (F.col("w") * weights[1]).alias("w"))
-    listed = {w: i for i, w in enumerate(sorted({w.lower() for w in words}))}
     freq = function_words(messages, words)
-    place = F.lit(0)
-    for w, i in listed.items():
-        place = F.when(F.col("word") == w, i).otherwise(place)
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(listed_words(words)[0]) for x in (w, i)])[F.col("word")]
     third = unit(freq.select("account_id", place.alias("idx"), F.col("freq").alias("w"))).select("account_id", (F.col("idx") + space + STRUCTURAL).cast("long").alias("idx"), (F.col("w") * weights[2]).alias("w"))
     return unit(first.union(second).union(third))

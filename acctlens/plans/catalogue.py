@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,12 +186,23 @@ def chunks_by_chars(spark, d):
     return P.chunks_by_chars(_ses(spark, d, LONG_GAP), 60).select("account_id", "session", F.col("seq").cast("long").alias("seq"), "chunk")
 
 
-@query(f"""{_BY_MESSAGES}, k AS (SELECT account_id, session, chunk, string_agg('"' || message_id || '"', ',' ORDER BY seq) AS keys FROM ch GROUP BY ALL) SELECT account_id, session, CAST(chunk AS INTEGER) AS chunk, 'chunk-' || sha256('["' || account_id || '",' || CAST(session AS VARCHAR) || ',[' || keys || ']]') AS chunk_id FROM k""")
+_KEY = """'"[\\"' || game_id || '\\",\\"' || message_id || '\\"]"'"""
+_IDS = f"""{_BY_MESSAGES}, si AS (SELECT account_id, session, 'session-' || sha256('["' || account_id || '",' || CAST(session AS VARCHAR) || ',[' || string_agg({_KEY}, ',' ORDER BY seq) || ']]') AS session_id FROM ch GROUP BY account_id, session),
+ci AS (SELECT account_id, session, chunk, string_agg({_KEY}, ',' ORDER BY seq) AS keys FROM ch GROUP BY ALL)"""
+
+
+def _with_ids(spark, d):
+    return P.with_ids(P.chunks_by_messages(_ses(spark, d, LONG_GAP), 3))
+
+
+@query(f"{_IDS} SELECT account_id, session, session_id FROM si")
 def session_ids_sha256(spark, d):
-    c = P.chunk_rows(P.chunks_by_messages(_ses(spark, d, LONG_GAP), 3))
-    keys = F.array_join(F.transform("message_ids", lambda m: F.concat(F.lit('"'), m, F.lit('"'))), ",")
-    text = F.concat(F.lit('["'), "account_id", F.lit('",'), F.col("session").cast("string"), F.lit(",["), keys, F.lit("]]"))
-    return c.select("account_id", "session", "chunk", F.concat(F.lit("chunk-"), F.sha2(text, 256)).alias("chunk_id"))
+    return _with_ids(spark, d).select("account_id", "session", "session_id").distinct()
+
+
+@query(f"""{_IDS} SELECT ci.account_id, ci.session, CAST(ci.chunk AS INTEGER) AS chunk, 'chunk-' || sha256('["' || ci.account_id || '","' || session_id || '",[' || keys || ']]') AS chunk_id FROM ci JOIN si ON si.account_id = ci.account_id AND si.session = ci.session""")
+def chunk_ids(spark, d):
+    return _with_ids(spark, d).select("account_id", "session", "chunk", "chunk_id").distinct()
 
 
 @query(f"{_BY_MESSAGES} SELECT account_id, session, CAST(chunk AS INTEGER) AS chunk, string_agg(CAST(us AS VARCHAR), ',' ORDER BY seq) AS times, string_agg(CAST(len AS VARCHAR), ',' ORDER BY seq) AS lens FROM ch GROUP BY ALL")
@@ -292,12 +305,19 @@ query(_sql, "struct_double_space")(_run)
 _marks = " UNION ALL ".join(_struct_sql(i + 1, f"length(text) - length(replace(text, '{c if c != chr(39) else chr(39) * 2}', ''))") for i, c in enumerate(X.PUNCTUATION))
 _run, _sql = _structural(32, 1, _marks)
 query(_sql, "struct_punct")(_run)
+_quote = lambda c: c.replace("'", "''")
+_repeats = " + ".join(f"len(regexp_extract_all(text, '{_quote(re.escape(c))}{{2,}}'))" for c in X.PUNCTUATION) + " + length(text) - length(replace(text, '\u2026', ''))"
+_repeated = _struct_sql(33, _repeats)
 _run, _ = _structural(1, 33, None)
-query(None, "struct_repeat_punct")(_run)
+query(_repeated, "struct_repeat_punct")(_run)
 _run, _sql = _structural(1, 34, _struct_sql(34, "length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))", "sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g')))"))
 query(_sql, "struct_upper_ratio")(_run)
+# A run of a letter counts once, where it gets to three.
+_elongated = """SELECT account_id, CAST(35 AS INTEGER) AS idx, round(CAST(sum(n) AS DOUBLE) / sum(size) + 1e-9, 7) AS value FROM (SELECT d.source AS account_id, length(d.text) AS size, coalesce(r.n, 0) AS n FROM documents d LEFT JOIN
+(SELECT doc_id, count(CASE WHEN c = c1 AND c = c2 AND (c3 IS NULL OR c3 <> c) AND regexp_matches(c, '\\p{L}') THEN 1 END) AS n FROM (SELECT doc_id, c, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3
+FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id) r ON r.doc_id = d.doc_id) GROUP BY account_id"""
 _run, _ = _structural(1, 35, None)
-query(None, "struct_elongation")(_run)
+query(_elongated, "struct_elongation")(_run)
 _run, _sql = _structural(1, 36, _struct_sql(36, "len(regexp_extract_all(text, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2300}-\\x{23FF}]'))"))
 query(_sql, "struct_emoji")(_run)
 _run, _sql = _structural(1, 37, _struct_sql(37, "length(text)", "count(*)"))
@@ -313,12 +333,13 @@ def function_word_freq(spark, d):
     return Y.function_words(A.documents(spark, d), WORDS).select("account_id", "word", r("freq", 7).alias("freq"))
 
 
-_EXACT = _marks.replace("round(", "(").replace(" + 1e-9, 7)", ")")
+_every = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [SQL["struct_double_space"], _marks, _repeated, SQL["struct_upper_ratio"], _elongated, SQL["struct_emoji"], SQL["mean_len"]])
+_EXACT = _every.replace("round(", "(").replace(" + 1e-9, 7)", ")")
 
 
 @query(f"WITH v AS ({_EXACT}) SELECT idx, round(avg(value) + 1e-9, 6) AS mean, round(stddev_pop(value) + 1e-9, 6) AS std FROM v GROUP BY ALL")
 def struct_stats_fit(spark, d):
-    s = Y.structural(A.documents(spark, d)).filter("idx BETWEEN 1 AND 32")
+    s = Y.structural(A.documents(spark, d))
     return s.groupBy("idx").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"))
 
 
@@ -326,7 +347,7 @@ def struct_stats_fit(spark, d):
     f"WITH v AS ({_EXACT}), st AS (SELECT idx, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY ALL), z AS (SELECT account_id, v.idx, CASE WHEN s = 0 THEN 0 ELSE (value - m) / s END AS z FROM v JOIN st ON v.idx = st.idx) SELECT account_id, idx, round(z / sqrt(sum(z * z) OVER (PARTITION BY account_id)) + 1e-9, 4) AS w FROM z"
 )
 def standardize_block_l2(spark, d):
-    s = Y.structural(A.documents(spark, d)).filter("idx BETWEEN 1 AND 32")
+    s = Y.structural(A.documents(spark, d))
     stats = s.groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     z = V.standardize(s, stats).select("account_id", "idx", F.col("z").alias("w"))
     return V.unit(z).select("account_id", "idx", r("w", 4).alias("w"))
@@ -341,24 +362,28 @@ def _grams(spark, d):
     return Y.plain_grams(A.documents(spark, d), 2)
 
 
+def _counts(spark, d):
+    return Y.account_grams(_grams(spark, d))
+
+
 def _tfidf(spark, d):
-    g, n = _grams(spark, d), A.documents(spark, d).count()
+    g, n = _counts(spark, d), A.documents(spark, d).count()
     return Y.tfidf(g, Y.idf(g, n), n)
 
 
 @query(f"{_GRAMS} SELECT account_id, gram, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY ALL")
 def ngram_counts(spark, d):
-    return _grams(spark, d).groupBy("account_id", "gram").agg(F.sum("n").alias("n"))
+    return _counts(spark, d).select("account_id", "gram", "n")
 
 
 @query(f"{_GRAMS} SELECT gram, count(*) AS df FROM g GROUP BY ALL")
 def ngram_df(spark, d):
-    return _grams(spark, d).groupBy("gram").agg(F.count("*").alias("df"))
+    return _counts(spark, d).groupBy("gram").agg(F.sum("df").alias("df"))
 
 
 @query(f"{_GRAMS}, {_IDF} SELECT gram, df, round(idf + 1e-9, 6) AS idf FROM i")
 def ngram_idf(spark, d):
-    return Y.idf(_grams(spark, d), A.documents(spark, d).count()).select("gram", "df", r("idf").alias("idf"))
+    return Y.idf(_counts(spark, d), A.documents(spark, d).count()).select("gram", "df", r("idf").alias("idf"))
 
 
 @query(f"{_GRAMS}, {_IDF}, {_TFIDF}, k AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY round(w, 9) DESC, gram) AS k FROM u) SELECT account_id, gram, round(w + 1e-9, 6) AS w FROM k WHERE k <= 10")
@@ -367,21 +392,25 @@ def tfidf_top(spark, d):
     return _tfidf(spark, d).withColumn("k", k).filter("k <= 10").select("account_id", F.col("idx").alias("gram"), r("w").alias("w"))
 
 
-def _all_pairs(accounts: DataFrame) -> DataFrame:
-    """Pairs a < b of a few accounts (sources or users of a shortlist), by a range join on the small list."""
-    return accounts.select(F.col("account_id").alias("a")).join(accounts.select(F.col("account_id").alias("b")), F.col("a") < F.col("b"))
+_SOURCE_PAIRS = "(SELECT DISTINCT x.source AS a, y.source AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 WHERE x.source <> y.source)"
+
+
+def _source_pairs(spark, d) -> DataFrame:
+    """Sources of documents that follow each other."""
+    own = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("a"))
+    following = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return own.join(following, "doc_id").filter("a <> b").select("a", "b").distinct()
 
 
-@query(f"{_GRAMS}, {_IDF}, {_TFIDF} SELECT p.account_id AS a, q.account_id AS b, round(sum(p.w * q.w) + 1e-9, 5) AS cosine FROM u p JOIN u q ON p.gram = q.gram AND p.account_id < q.account_id GROUP BY ALL")
+@query(f"{_GRAMS}, {_IDF}, {_TFIDF} SELECT pl.a, pl.b, round(sum(p.w * q.w) + 1e-9, 5) AS cosine FROM {_SOURCE_PAIRS} pl JOIN u p ON p.account_id = pl.a JOIN u q ON q.account_id = pl.b AND q.gram = p.gram GROUP BY pl.a, pl.b")
 def ngram_cosine(spark, d):
-    accounts = A.documents(spark, d).select("account_id").distinct()
-    return V.pair_cosine(_all_pairs(accounts), _tfidf(spark, d)).select("a", "b", r("cosine", 5).alias("cosine"))
+    return V.pair_cosine(_source_pairs(spark, d), _tfidf(spark, d)).select("a", "b", r("cosine", 5).alias("cosine"))
 
 
 @query()
 def hashed_ngram_vector(spark, d):
     m = A.documents(spark, d)
-    g, n = X.hashed_grams(m), m.count()
+    g, n = Y.account_grams(X.hashed_grams(m), "bucket"), m.count()
     return Y.tfidf(g, Y.idf(g, n, "bucket"), n, "bucket").select("account_id", F.col("idx").alias("bucket"), r("w").alias("w"))
 
 
@@ -389,4 +418,4 @@ def hashed_ngram_vector(spark, d):
 def stylometry_scores(spark, d):
     m = A.documents(spark, d)
     rows = Y.style_vectors(m, WORDS)
-    return V.pair_cosine(_all_pairs(m.select("account_id").distinct()), rows).select("a", "b", r("cosine", 5).alias("cosine"))
+    return V.pair_cosine(_source_pairs(spark, d), rows).select("a", "b", r("cosine", 5).alias("cosine"))

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import EV, SES12, SMALL, A, B, C, E, K, P, S, V, _all_pairs, _ev, _k, _rounded, query, r
+from ..operators import compare as cmp
+from ..session import kept, scratch_folder
+from .catalogue import EV, SES12, SMALL, WORDS, A, B, C, E, K, P, S, V, X, Y, _ev, _k, _rounded, query, r
 
 TAU = "6.283185307179586e0"
 E_SQL = f"{SES12}, e AS (SELECT account_id, session, seq, t, len FROM ses)"
@@ -193,13 +195,14 @@ FEATURES = _features_sql()
 _VECTOR = """st AS (SELECT idx, avg(value) AS m, stddev_pop(value) AS s FROM feat GROUP BY ALL), z AS (SELECT account_id, f.idx, CASE WHEN f.idx < 79 THEN 0 WHEN f.idx < 108 THEN 1 ELSE 2 END AS block, CASE WHEN s = 0 THEN 0 ELSE (value - m) / s END AS z FROM feat f JOIN st ON f.idx = st.idx),
 zb AS (SELECT account_id, idx, block, z, sqrt(sum(z * z) OVER (PARTITION BY account_id, block)) AS n FROM z), u AS (SELECT account_id, idx, CASE WHEN n > 0 THEN z / n ELSE 0 END * CASE block WHEN 0 THEN 0.45 WHEN 1 THEN 0.30 ELSE 0.25 END AS u FROM zb),
 vec AS (SELECT account_id, idx, u / sqrt(sum(u * u) OVER (PARTITION BY account_id)) AS w FROM u)"""
-SHORT = "CAST(account_id AS BIGINT) < 40"
-_PAIRS = f"""pr AS (SELECT p.account_id AS a, q.account_id AS b, least(1.0, greatest(-1.0, sum(p.w * q.w))) AS cosine FROM (SELECT * FROM vec WHERE {SHORT}) p JOIN (SELECT * FROM vec WHERE {SHORT}) q ON p.idx = q.idx AND p.account_id < q.account_id GROUP BY ALL)"""
+#: The pairs that queries ask for: every account with those of the next five ids.
+PAIR_LIST = "pl AS (SELECT x.account_id AS a, y.account_id AS b FROM (SELECT account_id, CAST(account_id AS BIGINT) + unnest([1, 2, 3, 4, 5]) AS other FROM (SELECT DISTINCT account_id FROM acc)) x JOIN (SELECT DISTINCT account_id FROM acc) y ON CAST(y.account_id AS BIGINT) = x.other)"
+_PAIRS = f"""{PAIR_LIST}, pr AS (SELECT pl.a, pl.b, least(1.0, greatest(-1.0, sum(p.w * q.w))) AS cosine FROM pl JOIN vec p ON p.account_id = pl.a JOIN vec q ON q.account_id = pl.b AND q.idx = p.idx GROUP BY pl.a, pl.b)"""
 
 
 def _features(spark, d):
     # Ten blocks read the events; they are kept, so that sessions are found once.
-    return K.features(_k(spark, d).persist())
+    return K.features(kept(_k(spark, d), "sessions"))
 
 
 @query(f"{FEATURES} SELECT account_id, CAST(idx AS INTEGER) AS idx, round(value + 1e-9, 5) AS value FROM feat")
@@ -214,7 +217,7 @@ def chrono_fit(spark, d):
 
 
 def _vectors(spark, d) -> DataFrame:
-    f = _features(spark, d).persist()
+    f = kept(_features(spark, d), "features")
     return K.vectors(f, K.fit(f))
 
 
@@ -224,13 +227,15 @@ def chrono_vector(spark, d):
     return _vectors(spark, d).select("account_id", "idx", F.when(w == 0, 0.0).otherwise(w).alias("w"))
 
 
-def _shortlist_pairs(spark, d):
-    """Pairs of the shortlist: accounts with an id under 40."""
-    return _all_pairs(P.accept(_ev(spark, d)).select("account_id").distinct().filter("CAST(account_id AS BIGINT) < 40"))
+def _pair_list(spark, d):
+    """Every account with those of the next five ids: five pairs an account at most, by an equal join."""
+    accounts = P.accept(_ev(spark, d)).select("account_id").distinct()
+    wanted = accounts.select(F.col("account_id").alias("a"), F.explode(F.array(*[(F.col("account_id").cast("long") + k).cast("string") for k in range(1, 6)])).alias("b"))
+    return wanted.join(accounts.withColumnRenamed("account_id", "b"), "b", "left_semi").select("a", "b")
 
 
 def _cosines(spark, d):
-    return V.pair_cosine(_shortlist_pairs(spark, d), _vectors(spark, d))
+    return V.pair_cosine(_pair_list(spark, d), _vectors(spark, d))
 
 
 @query(f"{FEATURES}, {_VECTOR}, {_PAIRS} SELECT a, b, round(cosine + 1e-9, 5) AS cosine FROM pr")
@@ -346,22 +351,19 @@ def evaluation_report(spark, d):
 
 # Pairs, components, strata -------------------------------------------------------------------------
 
-_EDGES = "ed AS (SELECT DISTINCT o_custkey % 500 AS a, 1000 + o_orderkey % 700 AS b FROM orders WHERE o_orderkey % 11 = 0)"
+# Customers, their orders, and the orders' suppliers' parts would be one component; customers and orders alone are many.
+_EDGES = "ed AS (SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders)"
 
 
 def _edges(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 11 = 0")
-    return o.select((F.col("o_custkey") % 500).alias("a"), (1000 + F.col("o_orderkey") % 700).alias("b")).distinct()
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_custkey").cast("long").alias("a"), (F.lit(1_000_000_000).cast("long") + F.col("o_orderkey")).alias("b")).distinct()
 
 
 def _components(spark, d):
-    import tempfile
-    import uuid
-
     e = _edges(spark, d)
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="acctlens-")).rstrip("/")
-    return E.same_components(e, nodes, f"{root}/same-{uuid.uuid4().hex}")
+    return E.same_components(e, nodes, scratch_folder(spark, "same"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, sy AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT DISTINCT a AS node, a AS r FROM sy UNION SELECT sy.b, re.r FROM re JOIN sy ON sy.a = re.node) SELECT node, min(r) AS component FROM re GROUP BY ALL")
@@ -386,14 +388,14 @@ def label_conflicts(spark, d):
     return B.canonical_pairs(o)[1]
 
 
-_PF = f"""WITH {EV}, ct AS (SELECT account_id, count(*) AS n, sum(len) AS ch FROM acc GROUP BY ALL), rd AS (SELECT account_id FROM ct WHERE n >= 40 AND ch >= 500 AND {SHORT}),
+_PF = f"""WITH {EV}, ct AS (SELECT account_id, count(*) AS n, sum(len) AS ch FROM acc GROUP BY ALL), rd AS (SELECT account_id FROM ct WHERE n >= 40 AND ch >= 500), {PAIR_LIST},
 gm AS (SELECT account_id, game_id AS v, row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, game_id) AS k FROM acc GROUP BY account_id, game_id), cm AS (SELECT account_id, channel_id AS v, row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, channel_id) AS k FROM acc WHERE channel_id IS NOT NULL GROUP BY account_id, channel_id),
 mo AS (SELECT DISTINCT account_id, strftime(make_timestamp(us), '%Y-%m') AS m FROM acc), p AS (SELECT rd.account_id, gm.v AS g, cm.v AS c FROM rd JOIN gm ON gm.account_id = rd.account_id AND gm.k = 1 LEFT JOIN cm ON cm.account_id = rd.account_id AND cm.k = 1),
-sl AS (SELECT x.account_id AS a, y.account_id AS b, CASE WHEN x.g = y.g THEN 'same-game' ELSE 'cross-game' END || '|' || CASE WHEN x.c = y.c THEN 'same-channel' ELSE 'other-channel' END || '|' || CASE WHEN EXISTS (SELECT 1 FROM mo i JOIN mo j ON i.m = j.m WHERE i.account_id = x.account_id AND j.account_id = y.account_id) THEN 'same-month' ELSE 'other-month' END AS stratum FROM p x JOIN p y ON x.account_id < y.account_id)"""
+sl AS (SELECT x.account_id AS a, y.account_id AS b, CASE WHEN x.g = y.g THEN 'same-game' ELSE 'cross-game' END || '|' || CASE WHEN x.c = y.c THEN 'same-channel' ELSE 'other-channel' END || '|' || CASE WHEN EXISTS (SELECT 1 FROM mo i JOIN mo j ON i.m = j.m WHERE i.account_id = x.account_id AND j.account_id = y.account_id) THEN 'same-month' ELSE 'other-month' END AS stratum FROM pl JOIN p x ON x.account_id = pl.a JOIN p y ON y.account_id = pl.b)"""
 
 
 def _strata(spark, d):
-    pairs = _shortlist_pairs(spark, d).withColumn("label", F.lit("different"))
+    pairs = _pair_list(spark, d).withColumn("label", F.lit("different"))
     return B.eligible(pairs, P.profiles(_ev(spark, d), SMALL))
 
 
@@ -417,12 +419,11 @@ def stratified_sample(spark, d):
     return B.sample(_strata(spark, d), 100)
 
 
-@query("WITH m AS (SELECT user_id AS account_id, list(DISTINCT CAST(day(CAST(ts AS TIMESTAMP)) AS INTEGER)) AS days FROM events WHERE user_id < 40 GROUP BY ALL) SELECT x.account_id AS a, y.account_id AS b, list_has_any(x.days, y.days) AS overlap FROM m x JOIN m y ON x.account_id < y.account_id")
+@query(f"WITH {EV}, {PAIR_LIST}, m AS (SELECT account_id, list(DISTINCT strftime(make_timestamp(us), '%Y-%m')) AS months FROM acc GROUP BY ALL) SELECT pl.a, pl.b, list_has_any(x.months, y.months) AS overlap FROM pl JOIN m x ON x.account_id = pl.a JOIN m y ON y.account_id = pl.b")
 def months_overlap(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").filter("user_id < 40")
-    m = e.groupBy("user_id").agg(F.collect_set(F.dayofmonth("ts")).alias("days"))
-    x, y = m.select(F.col("user_id").alias("a"), F.col("days").alias("x")), m.select(F.col("user_id").alias("b"), F.col("days").alias("y"))
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.arrays_overlap("x", "y").alias("overlap"))
+    m = P.accept(_ev(spark, d)).groupBy("account_id").agg(F.collect_set(F.date_format(F.timestamp_micros("us"), "yyyy-MM")).alias("months"))
+    side = lambda s: m.select(F.col("account_id").alias(s), F.col("months").alias(f"m_{s}"))
+    return _pair_list(spark, d).join(side("a"), "a").join(side("b"), "b").select("a", "b", F.arrays_overlap("m_a", "m_b").alias("overlap"))
 
 
 # Semantic ------------------------------------------------------------------------------------------
@@ -464,10 +465,12 @@ def embed_l2(spark, d):
     return _unit(spark, d).select("account_id", "idx", r("w", 5).alias("w"))
 
 
-@query(f"{_UNIT} SELECT p.account_id AS a, q.account_id AS b, round(sum(p.w * q.w) + 1e-9, 5) AS cosine FROM un p JOIN un q ON p.idx = q.idx AND p.account_id < q.account_id GROUP BY ALL")
+@query(f"{_UNIT} SELECT pl.a, pl.b, round(sum(p.w * q.w) + 1e-9, 5) AS cosine FROM (SELECT DISTINCT CAST(x.label AS VARCHAR) AS a, CAST(y.label AS VARCHAR) AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.label <> y.label) pl JOIN un p ON p.account_id = pl.a JOIN un q ON q.account_id = pl.b AND q.idx = p.idx GROUP BY ALL")
 def embed_pair_cosine(spark, d):
-    u = _unit(spark, d)
-    return V.pair_cosine(_all_pairs(u.select("account_id").distinct()), u).select("a", "b", r("cosine", 5).alias("cosine"))
+    u, e = _unit(spark, d), spark.read.parquet(f"{d}/embeddings.parquet")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other"))
+    pairs = e.join(following, "vec_id").filter("label <> other").select(F.col("label").cast("string").alias("a"), F.col("other").cast("string").alias("b")).distinct()
+    return V.pair_cosine(pairs, u).select("a", "b", r("cosine", 5).alias("cosine"))
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))) + 1e-9, 4) AS cosine FROM embeddings")
@@ -504,22 +507,43 @@ def embed_cache_hits(spark, d):
     return new.agg(F.count("*").alias("misses"))
 
 
-# Shortlist -----------------------------------------------------------------------------------------
+# Comparison and evaluation -------------------------------------------------------------------------
 
 
-def shortlist(spark, d) -> DataFrame:
-    """The pairs of the first account with the other accounts of the shortlist, calibrated against all shortlist pairs, fused and ranked by suspect.
+def _engine_vectors(spark, d, accounts=None) -> dict[str, DataFrame]:
+    """Each engine's vectors of all accounts of the events, fitted on those accounts (account_id) or on all."""
+    messages = P.accept(_ev(spark, d))
+    text = messages.select("account_id", X.mask_sql(F.col("text")).alias("text"))
+    rows = S.window_rows(text, VOCAB, 64)
+    vectors, _ = S.embed(rows, S.SyntheticModel())
+    own = rows.select(F.col("id").alias("account_id"), "key").join(vectors, "key").select("account_id", "embedding")
+    features = kept(_features(spark, d), "features")
+    fitted = features if accounts is None else features.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
+    return {
+        "stylometry": Y.style_vectors(messages, WORDS, fitted_on=accounts),
+        "semantic": cmp.semantic_vectors(own, accounts),
+        "chronobiology": K.vectors(features, K.fit(fitted)),
+    }
 
-    Vectors are computed once for all accounts; only pairs are joined to them.
-    """
-    rows = _calibrated(spark, d).filter("a = '0' OR b = '0'")
-    other = F.when(F.col("a") == "0", F.col("b")).otherwise(F.col("a"))
-    none = lambda n: [F.lit("INSUFFICIENT_DATA").alias(f"{n}_status"), F.lit(None).cast("double").alias(f"{n}_percentile"), F.lit("MINIMUMS_NOT_MET").alias(f"{n}_error")]
-    done = rows.select(F.lit("0").alias("candidate"), other.alias("suspect"), F.col("cosine").alias("raw_cosine"), *none("stylometry"), *none("semantic"), F.lit("OK").alias("chronobiology_status"), F.col("percentile").alias("chronobiology_percentile"), F.lit(None).cast("string").alias("chronobiology_error"))
-    return C.fuse(done)
+
+def shortlist(spark, d) -> DataFrame:
+    """Every listed pair compared by three engines against the listed pairs whose ids have an even sum, which are known to differ."""
+    pairs = _pair_list(spark, d)
+    different = pairs.filter("(CAST(a AS BIGINT) + CAST(b AS BIGINT)) % 2 = 0")
+    least = (SMALL.minimum_messages, SMALL.minimum_chars)
+    engines = [cmp.Engine(n, v, "all", cmp.baseline_of(different, n, v, "all", *least), *least) for n, v in _engine_vectors(spark, d).items()]
+    return cmp.compare(pairs, P.profiles(_ev(spark, d), SMALL), engines)
 
 
-@query(f"{_CAL}, m AS (SELECT CASE WHEN a = '0' THEN b ELSE a END AS suspect, cosine, percentile AS p, 100 * least(1.0, greatest(0.0, 1.0005 - exp(ln(greatest(0.0005, 1 - percentile / 100 + 0.0005))))) AS tail FROM cal WHERE a = '0' OR b = '0') SELECT '0' AS candidate, suspect, cosine AS raw_cosine, round(p + 1e-9, 6) AS weighted_percentile, round(tail + 1e-9, 6) AS fisher_tail_score, round(0.5 * p + 0.5 * tail + 1e-9, 6) AS combined_score FROM m")
+@query()
 def compare_shortlist(spark, d):
-    f = shortlist(spark, d)
-    return f.select("candidate", "suspect", "raw_cosine", *[r(c).alias(c) for c in ("weighted_percentile", "fisher_tail_score", "combined_score")])
+    return _rounded(shortlist(spark, d))
+
+
+@query()
+def evaluate_pipeline(spark, d):
+    """Labels of the listed pairs: the same where ids differ by one and the lesser is a multiple of three."""
+    same = (F.col("b").cast("long") - F.col("a").cast("long") == 1) & (F.col("a").cast("long") % 3 == 0)
+    labelled = _pair_list(spark, d).select("a", "b", F.when(same, "same").otherwise("different").alias("label"))
+    profiles = P.profiles(_ev(spark, d), SMALL)
+    return _rounded(E.evaluate(labelled, profiles, lambda accounts: _engine_vectors(spark, d, accounts), scratch_folder(spark, "evaluate"), SMALL.minimum_messages, SMALL.minimum_chars))

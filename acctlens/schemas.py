@@ -13,14 +13,16 @@ SCHEMA_VERSION = "1.0"
 class ErrorCode(str, Enum):
     """The stable error codes."""
 
-    INPUT_INVALID = "INPUT_INVALID"
-    ARTIFACT_INVALID = "ARTIFACT_INVALID"
-    CONFIG_MISMATCH = "CONFIG_MISMATCH"
-    BASELINE_INVALID = "BASELINE_INVALID"
     MINIMUMS_NOT_MET = "MINIMUMS_NOT_MET"
-    EXTERNAL_NOT_ALLOWED = "EXTERNAL_NOT_ALLOWED"
     ENGINE_TIMEOUT = "ENGINE_TIMEOUT"
     ENGINE_FAILURE = "ENGINE_FAILURE"
+    BASELINE_CONFIG_MISMATCH = "BASELINE_CONFIG_MISMATCH"
+    BASELINE_INVALID = "BASELINE_INVALID"
+    LOCAL_MODEL_UNAVAILABLE = "LOCAL_MODEL_UNAVAILABLE"
+    LOCAL_MODEL_INVALID = "LOCAL_MODEL_INVALID"
+    EXTERNAL_NOT_ALLOWED = "EXTERNAL_NOT_ALLOWED"
+    INPUT_INVALID = "INPUT_INVALID"
+    ARTIFACT_INVALID = "ARTIFACT_INVALID"
 
 
 class ContractError(ValueError):

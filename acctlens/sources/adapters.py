@@ -23,12 +23,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str, cap: int = 0) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as messages: source as account, language as game."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(
         F.col("source").alias("account_id"), F.col("doc_id").cast("string").alias("message_id"), F.col("lang").alias("game_id"), F.lit(None).cast("string").alias("channel_id"),
-        (F.lit(1704067200_000_000) + F.col("doc_id") * 420_000_000).alias("us"), (F.substring("text", 1, cap) if cap else F.col("text")).alias("text"), F.lit(False).alias("is_system"),
+        (F.lit(1704067200_000_000) + F.col("doc_id") * 420_000_000).alias("us"), "text", F.lit(False).alias("is_system"),
         F.lit("documents").alias("source_id"), (F.col("doc_id") + 1).alias("source_row"),
     )
 

@@ -49,6 +49,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the session delete shuffle files of tables that are written already; it does so when it finds them unreferenced."""
+    spark._jvm.java.lang.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until df has no such column (upper and lower case count as equal)."""
     taken = {c.lower() for c in df.columns}

@@ -75,28 +75,76 @@ def test_quality_held_out_and_equal_scoring(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
-def test_lm_base_and_attention(spark):
+def test_lm_base_and_attention(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICE", 3000)
     rng = random.Random(3)
-    texts = [sentence(rng, rng.randint(1, 60), 40) for _ in range(150)] + [None, "", " \n", "z" * 50_000, "É SS é"] + ["same text"] * 3
-    got = lm_scoring.lm_scores(docs_of(spark, texts), max_frequent=20, fit_docs=50).collect()
-    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + ["end"] for i, t in enumerate(texts)}
-    c = Counter(w for i, ws in words.items() if fold(i, 10) != 0 for w in ws)
+    texts = [sentence(rng, rng.randint(1, 60), 40) for _ in range(150)] + [None, "", " \n", "z" * 50_000, "É SS é"] + ["same text"] * 3 + [sentence(rng, 3000, 5000)]
+    df = docs_of(spark, texts)
+    df = df.union(df.filter("doc_id = 5")).union(df.filter("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    all_texts = [*enumerate(texts), (5, texts[5]), ("", texts[6])]
+    got = lm_scoring.lm_scores(df, max_frequent=20, fit_every=2).collect()
+    words = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + ["end"]) for i, t in all_texts]
+    c = Counter(w for i, ws in words if fold(i, 10) != 0 for w in ws)
     n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts)
+    assert len(got) == len(words) and Counter(r.doc_id for r in got)[5] == 2
+    by_id = dict(words)
     for r in got:
-        ws = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.doc_id, 10) == 0, len(ws), sum(c[w] > 0 for w in ws), n)
+        i = "" if r.doc_id is None else r.doc_id
+        ws = by_id[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i, 10) == 0, len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
         assert r.score < 0
-    assert lm_scoring.lm_scores(docs_of(spark, texts).limit(0)).count() == 0
+    assert lm_scoring.lm_scores(df.limit(0)).count() == 0
+    only_held_out = df.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in lm_scoring.lm_scores(only_held_out).collect())
+
+
+def test_long_texts_in_pieces_score_as_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(33)
+    texts = [sentence(rng, n).encode() for n in (3, 500, 0, 900, 40)] + [b"x" * 5000 + b" y", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], names=["a", "b"])
+    subwords = lm_scoring.Subwords(None)
+    whole, cut = lm_scoring.Words(texts).stream(subwords, 7)
+    ids, sizes = [], []
+    for start, k, got, at, pieces in lm_scoring.streams(batch, subwords, 700):
+        assert sum(len(w.hash) for w in pieces) == sum(len((t or b"").split()) for t in texts[start : start + k])
+        ids.append(got)
+        sizes += np.diff(at).tolist()
+    assert np.array_equal(np.concatenate(ids), whole) and sizes == np.diff(cut).tolist()
+    for t in texts:
+        got = lm_scoring.parts(t, 100)
+        assert b"".join(got) == (t or b"") and [w for x in got for w in x.split()] == (t or b"").split()
+
+
+def test_lm_learns_more_than_the_base(spark):
+    """Held-out log10 probability a word: words that follow from the one before, which the base can't know."""
+    rng = random.Random(23)
+    after = {f"{a}": [f"{b}" for b in rng.sample(NAMES, 2)] for a in NAMES}
+
+    def chain_of(n):
+        w = [rng.choice(NAMES)]
+        while len(w) < n:
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(w)
+
+    got = lm_scoring.lm_scores(docs_of(spark, [chain_of(60) for _ in range(1500)]), fit_every=1).filter("held_out").collect()
+    words = sum(r.n_tokens for r in got)
+    model, base = sum(r.score for r in got) / words, sum(r.base_score for r in got) / words
+    assert len(got) > 80 and model > base + 0.3, (model, base)
+
+
+NAMES = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
 
 
 def test_attention_matches_plain_loops_and_sums_to_one():
     rng = np.random.default_rng(0)
     size = 120
     stream = rng.integers(0, size, 300).astype(np.int32)
-    model = lm_scoring.Model(*lm_scoring.classes(stream, size))
-    model.set_counts(np.bincount(stream, minlength=size))
+    n = np.bincount(stream, minlength=size)
+    model = lm_scoring.Model(*lm_scoring.classes(n, lm_scoring.neighbours(stream, *lm_scoring.leads(n))))
+    model.set_counts(n)
     cut = np.array([0, 1, 30, 300])
     model.fit(stream, cut)
     got, p = model.score(stream, cut), model.p

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, prefix_hash, slices, span_hash, spans, table
+from ._common import materialize, prefix_hash, slices, span_hash, spans, table, unused
 
 K1, B = 1.2, 0.75
 #: Items of a block, words of half a passage (more for longer items), least share of an item's own score, and least shingle overlap.
@@ -62,9 +62,12 @@ def shingles(words: np.ndarray, width: int) -> set[bytes]:
 
 
 class Index:
-    """Postings by term with BM25 impacts as shares of each item's own score, and their maxima by block."""
+    """Postings by term with BM25 impacts as shares of each item's own score, and their maxima by block.
 
-    def __init__(self, items: list[tuple[int, str | None]], block: int = BLOCK):
+    whole: (number of items, mean length, sorted terms, items of each term) of the collection that the items are part of; without it they are all.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], block: int = BLOCK, whole: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         words, cut = hashed_words([t for _, t in items])
         self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -75,9 +78,12 @@ class Index:
         item = np.repeat(np.arange(n), size)
         pair, tf = np.unique((np.searchsorted(self.terms, words) * max(1, n)) + item, return_counts=True)
         term, item = pair // max(1, n), pair % max(1, n)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, size.mean() if n else 1)))
+        if whole is None:
+            total, mean, df = n, size.mean() if n else 1, np.bincount(term, minlength=len(self.terms))
+        else:
+            total, mean, df = whole[0], whole[1], whole[3][np.searchsorted(whole[2], self.terms)]
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, mean)))
         own = np.bincount(item, impact, n)
         self.impact = impact / own[item]
         self.item, self.first = item, np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -169,15 +175,15 @@ class Index:
                 first = int(cut[d]) + (int(q) - int(base[d])) * half
                 yield d, first, min(first + 2 * half, int(cut[d + 1])), t[i:j], np.flatnonzero(bounds[q - lo])
 
-    def overlap(self, words: np.ndarray, item: int) -> tuple[float, float, float]:
-        """Shares of the shingles of the item's question, answer and both that `words` has."""
+    def overlap(self, words: np.ndarray, item: int) -> tuple[float, float]:
+        """Shares of the shingles of the item's question and of its answer that `words` has."""
         w, k = self.words[item], self.split[item]
         share = []
         for part in (w[:k], w[k:]):
             width = max(1, min(WIDTH, len(part)))
             own = shingles(part, width)
-            share.append((len(own & shingles(words, width)), len(own)))
-        return tuple(hit / n if n else 1.0 for hit, n in share) + (sum(h for h, _ in share) / max(1, sum(n for _, n in share)),)
+            share.append(len(own & shingles(words, width)) / len(own) if own else 1.0)
+        return share[0], share[1]
 
     def leaks(self, words: np.ndarray, cut: np.ndarray, least_score: float, least_overlap: float, half: int = HALF) -> dict:
         """(text, item) -> (score, question overlap, answer overlap) of the verified ones."""
@@ -185,34 +191,62 @@ class Index:
         for d, first, end, terms, blocks in self.passages(words, cut, least_score, half):
             for item, score in self.search(terms, least_score, blocks):
                 more = len(self.words[item])
-                q, a, both = self.overlap(words[max(int(cut[d]), first - more) : min(int(cut[d + 1]), end + more)], item)
-                if (q >= least_overlap and a >= least_overlap) or both >= least_overlap:
+                q, a = self.overlap(words[max(int(cut[d]), first - more) : min(int(cut[d + 1]), end + more)], item)
+                if q >= least_overlap and a >= least_overlap:
                     out[d, item] = max(out.get((d, item), (0.0, 0.0, 0.0)), (score, q, a))
         return out
 
 
+def collection(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """((shard, term, df): the terms of each shard's items and in how many items of all a term is; number and mean length of the items with words).
+
+    items: (shard, item_id, text), one row for each item.
+    """
+
+    def listed(batches):
+        for b in batches:
+            words, cut = hashed_words(b.column(1).to_pylist())
+            own = [np.unique(words[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+            n = np.array([len(x) for x in own], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(cut).astype(np.int64)), lists], names=["shard", "size", "terms"])
+
+    rows = materialize(items.select("shard", "text").mapInArrow(listed, "shard int, size long, terms array<long>").filter("size > 0"), "items-terms")
+    n, mean = rows.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(1.0))).first()
+    each = rows.select("shard", F.explode("terms").alias("term")).groupBy("term", "shard").agg(F.count("*").alias("n"))
+    df = each.groupBy("term").agg(F.sum("n").alias("df"))
+    return materialize(each.select("term", "shard").join(df, "term"), "items-df"), int(n), float(mean)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents with a passage that holds a test item.
 
-    Items are collected and broadcast in shards of about shard_bytes of text. Its items of each class of length
-    (see half_for) are a BM25 collection by themselves; each shard is searched with every passage of every document. Items without words or
-    with a null id and documents without words or a null doc_id match nothing; repeated rows of either give
-    one row; empty tables give an empty result; further columns are ignored.
+    Both the question and the answer must overlap. Document frequencies and lengths are those of all items.
+    Postings are broadcast in shards of about shard_bytes of item texts, one index for each class of lengths
+    (see half_for), and each shard is searched with every passage of every document: results and scores don't
+    depend on the shards, but documents are read once for each of them. Items without words or with a null
+    id and documents without words or a null doc_id match nothing; repeated rows of either give one row; items
+    with an equal id and other texts are items each, and the best one counts; empty tables give an empty
+    result; further columns are ignored.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_bytes))
+    own = own.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text", "item_id")
+    terms, n_items, mean = collection(own)
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     found = None
     for s in range(shards):
-        part = sorted((r.item_id, r.text) for r in own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).toLocalIterator())
+        part = sorted((r.item_id, r.text) for r in own.filter(F.col("shard") == s).toLocalIterator())
+        known = np.array(sorted((r.term & (2**64 - 1), r.df) for r in terms.filter(F.col("shard") == s).toLocalIterator()), np.uint64).reshape(-1, 2)
+        whole = (n_items, mean, known[:, 0], known[:, 1].astype(np.int64))
         by_half: dict = {}
         for x in part:
             if n := len(hashed_words([x[1]])[0]):
                 by_half.setdefault(half_for(n), []).append(x)
-        held = spark.sparkContext.broadcast([(half, Index(x)) for half, x in sorted(by_half.items())])
+        held = spark.sparkContext.broadcast([(half, Index(x, whole=whole)) for half, x in sorted(by_half.items())])
 
         def search(batches, held=held):
             for batch in batches:
@@ -227,16 +261,19 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         some = rows.mapInArrow(search, schema)
+        if shards > 1:
+            some = materialize(some, "leaks")
+            held.unpersist()
         found = some if found is None else found.union(some)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, whose doc_id is not in `contaminated`; rows with a null doc_id stay."""
-    bad = materialize(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("doc_id", "contaminated_id"), F.col("contaminated_id") == docs["doc_id"], "left_anti")
+    """The rows of docs, with all their columns whatever their names, whose doc_id is not in `contaminated`; rows with a null doc_id stay."""
+    key = unused(docs, "contaminated_id")
+    bad = materialize(contaminated(docs, items).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(bad, F.col(key) == F.col("doc_id").cast("long"), "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 LEAST_REVISIT = 1000
 #: Most revisits (two longs each) that are broadcast to the pages, which then aren't shuffled; more are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
-#: Most pieces (offsets and a file name) of records with version lines inside that are broadcast to find their texts; more are joined by a shuffle.
+#: Most hashes of pieces inside payloads that look like records that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_PIECES = 50_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -42,7 +42,8 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
 
     A null html is an empty payload; of equal payloads of at least `least` bytes all but those with the
     largest page_id become revisits without payload; line ends in a url are dropped, and a null url becomes
-    a urn; rows with a null page_id are responses of their own.
+    a urn; rows with a null page_id are responses of their own; repeated rows are records each (of the largest
+    page_id all are responses); empty tables give an empty archive; further columns are ignored.
     """
     later = materialize(revisits(pages, least).withColumnRenamed("page_id", "r_page_id"), "warc-revisits")
     if later.count() <= BROADCAST_REVISITS:
@@ -87,8 +88,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives under path.
 
     Pieces are numbered as they lie in their split; offsets are the running sums of the pieces' lengths. A
-    record whose payload holds the version line covers several pieces, which are put together again.
-    An empty folder gives an empty result.
+    record whose payload holds the version line covers several pieces, which are put together again; an archive's
+    pieces are ordered in one task, by offsets alone. How files are split need not be the same each time that
+    they are read. Page ids may be negative or missing (null); repeated records are returned each; an empty
+    folder gives an empty result.
     """
     pieces = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"), "value"
@@ -102,9 +105,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     block = F.when(F.col("complete"), F.substring(raw, (start + 1).cast("int"), F.col("length").cast("int")))
     light = whole.select(
         "file", "split", "k", "size", (start + F.col("length") + len(GAP)).alias("span"), "complete",
-        F.regexp_extract("h", r"WARC-Record-ID: <urn:page:(\d*)>", 1).try_cast("long").alias("page_id"), field("WARC-Type").alias("record_type"),
-        F.regexp_extract("h", r"WARC-Refers-To: <urn:page:(\d+)>", 1).try_cast("long").alias("refers_to"), F.regexp_extract("h", r"WARC-Payload-Digest: sha1:(\w+)", 1).alias("said"),
-        F.when(F.col("complete"), F.struct(*_payload(block))).alias("p"),
+        F.regexp_extract("h", r"WARC-Record-ID: <urn:page:(-?\d*)>", 1).try_cast("long").alias("page_id"), field("WARC-Type").alias("record_type"),
+        F.regexp_extract("h", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"), F.regexp_extract("h", r"WARC-Payload-Digest: sha1:(\w+)", 1).alias("said"),
+        F.when(F.col("complete"), F.struct(*_payload(block))).alias("p"), F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"),
+        # A piece that isn't just one record may be part of one; its text stays at hand.
+        F.when(~F.coalesce(F.col("size") == start + F.col("length") + len(GAP), F.lit(False)), F.col("value")).alias("text"),
     )
     light = materialize(light, "warc-pieces")
     in_file = Window.partitionBy("file").orderBy("split", "k")
@@ -115,7 +120,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     kept = placed.join(reached, ["file", "at"])
     simple = kept.filter("complete")
     spread = kept.filter("NOT complete OR complete IS NULL").select(F.col("file").alias("r_file"), F.col("at").alias("record"), "next", "page_id", "record_type", "refers_to", "said")
-    rest = _spread(placed.select("file", "split", "k", "at"), pieces, spread, field)
+    rest = _spread(placed.select("file", "at", "h1", "h2", "text"), pieces.select("value"), spread, field)
     fields = ["page_id", "record_type", "refers_to", "said", "p"]
     out = simple.select(fields).union(rest.select(fields))
     bytes_, digest = F.col("p.bytes"), F.when(F.col("record_type") == "revisit", F.col("said")).otherwise(F.col("p.digest"))
@@ -132,10 +137,15 @@ def _payload(block) -> list:
 def _spread(placed: DataFrame, pieces: DataFrame, records: DataFrame, field) -> DataFrame:
     """The records that cover several pieces, with their payload's length and digest."""
     owner = placed.join(records, (F.col("file") == F.col("r_file")) & (F.col("at") >= F.col("record")) & (F.col("at") < F.col("next")))
-    parts = owner.select("file", "split", "k", "at", "record", "page_id", "record_type", "refers_to", "said")
-    # The pieces hold the archives' whole text; they are shuffled only where very many of them belong to such records.
-    parts = materialize(parts, "warc-parts")
-    texts = (F.broadcast(parts) if parts.count() <= BROADCAST_PIECES else parts).join(pieces, ["file", "split", "k"])
+    parts = materialize(owner.select("file", "at", "record", "page_id", "record_type", "refers_to", "said", "h1", "h2", "text"), "warc-parts")
+    # Pieces that look like records have only hashes of their texts, which are found again in the archives
+    # wherever these are split now. All text is shuffled only where very many pieces are missing.
+    wanted = materialize(parts.filter("text IS NULL").select("h1", "h2").distinct(), "warc-wanted")
+    n = wanted.count()
+    again = pieces.select(F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"), "value").join(F.broadcast(wanted) if n <= BROADCAST_PIECES else wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    found = parts.filter("text IS NULL").drop("text").join(again, ["h1", "h2"]) if n else parts.limit(0).withColumnRenamed("text", "value")
+    columns = ["file", "at", "record", "page_id", "record_type", "refers_to", "said", "value"]
+    texts = parts.filter("text IS NOT NULL").withColumnRenamed("text", "value").select(columns).unionByName(found.select(columns))
     whole = texts.groupBy("file", "record", "page_id", "record_type", "refers_to", "said").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
     whole = whole.select("page_id", "record_type", "refers_to", "said", F.array_join(F.transform("v", lambda x: x["value"]), MAGIC).alias("value"))
     h = whole.withColumn("h", F.substring_index("value", GAP, 1)).withColumn("length", field("Content-Length").cast("int"))

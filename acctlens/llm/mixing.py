@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, table
 
+#: Leading bits of a block's place in the order by which blocks are grouped, so that no task orders all of them.
+ORDER_BITS = 12
 #: Documents of a block (on average), entropy aimed at (as a share of the largest possible), and most repetitions.
 BLOCK_DOCS, ENTROPY, REPEATS = 1024, 0.95, 4.0
 
@@ -67,27 +69,35 @@ def mix_sources(docs: DataFrame, budget: float | None = None, share: float | Non
     of the mixture (default: those of docs). A document is used while its source's quota isn't full when it
     begins, so a source exceeds its quota by less than a document. Documents without tokens take no place and
     are left out; a null source is a source by itself; a null doc_id is dealt like any other; repeated rows
-    are documents by themselves; an empty table gives an empty result; further columns are ignored.
+    are documents by themselves, dealt to blocks apart from each other; an empty table gives an empty result;
+    further columns are ignored. The driver holds a row for each source.
     """
     spark = docs.sparkSession
     count = tokens if tokens is not None else F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
     rows = docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(count.cast("long"), F.lit(0)).alias("tokens"))
-    rows = materialize(rows.filter("tokens > 0"), "mixing-rows")
+    # Equal rows are numbered, so that one row repeated very often is not one block.
+    rows = rows.filter("tokens > 0").groupBy("source", "doc_id", "tokens").agg(F.count("*").alias("copies"))
+    rows = materialize(rows.select("source", "doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")), "mixing-rows")
     stats = rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs")).collect()
     by_source = {r.source: r.total for r in stats}
     whole = float(budget if budget is not None else sum(by_source.values()))
     weights = tempered(by_source, bisect_alpha(by_source, whole, share, repeats)) if by_source else {}
     plan = [(r.source, weights[r.source], weights[r.source] * whole, int(weights[r.source] * whole // r.total), r.total, max(1, -(-r.docs // block_docs))) for r in stats]
     plan = spark.createDataFrame(plan, "p_source string, weight double, quota double, epochs long, total long, blocks long")
-    plan = F.broadcast(plan)  # a row for each source
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens"), F.col("blocks")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens", "copy"), F.col("blocks")))
     used = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
     # Totals of blocks, then where each block begins in its source's epoch.
     in_block = used.groupBy("source", "epoch", "block").agg(F.sum("tokens").alias("block_tokens"))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    begins = in_block.withColumn("begin", F.sum("block_tokens").over(order) - F.col("block_tokens")).select(F.col("source").alias("b_source"), F.col("epoch").alias("b_epoch"), F.col("block").alias("b_block"), "begin")
-    within = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = in_block.withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block")).withColumn("part", F.shiftright("turn", 64 - ORDER_BITS))
+    in_part = in_block.groupBy("source", "epoch", "part").agg(F.sum("block_tokens").alias("part_tokens"))
+    parts = in_part.withColumn("part_begin", F.sum("part_tokens").over(Window.partitionBy("source", "epoch").orderBy("part")) - F.col("part_tokens"))
+    parts = parts.select(F.col("source").alias("p_source"), F.col("epoch").alias("p_epoch"), F.col("part").alias("p_part"), "part_begin")
+    order = Window.partitionBy("source", "epoch", "part").orderBy("turn", "block")
+    begins = in_block.withColumn("within", F.sum("block_tokens").over(order) - F.col("block_tokens"))
+    begins = begins.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("epoch") == F.col("p_epoch")) & (F.col("part") == F.col("p_part")))
+    begins = begins.select(F.col("source").alias("b_source"), F.col("epoch").alias("b_epoch"), F.col("block").alias("b_block"), (F.col("part_begin") + F.col("within")).alias("begin"))
+    within = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id", "copy"), "doc_id", "tokens", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = used.withColumn("before", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     placed = placed.join(begins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("epoch") == F.col("b_epoch")) & (F.col("block") == F.col("b_block")))
     at = F.col("epoch") * F.col("total") + F.col("begin") + F.col("before")

@@ -8,6 +8,8 @@ depend on it.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -26,8 +28,6 @@ class PretokenLengths(dict):
     """Pre-token -> number of tokens; what is missing is encoded and kept while there is room."""
 
     def __init__(self, path: str | None, known: dict[str, int], room: int = CACHE_SIZE):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -38,6 +38,7 @@ class PretokenLengths(dict):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.sign = os.path.commonprefix(special)
         self.words = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, piece: str) -> int:
@@ -48,7 +49,7 @@ class PretokenLengths(dict):
 
     def parts(self, text: str) -> tuple[int, list[str]]:
         """Number of special strings, which are a token each, and the texts between them."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or self.sign not in text:
             return 0, [text]
         between = self.special.split(text)
         return len(between) - 1, between
@@ -61,6 +62,17 @@ class PretokenLengths(dict):
         return n + sum(sum(map(get, self.words(t))) for t in between if t)
 
 
+#: The one reader that a worker keeps from task to task, under the name of the call that it belongs to.
+_KEPT: dict[str, PretokenLengths] = {}
+
+
+def _reader(name: str, path: str | None, known) -> PretokenLengths:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = PretokenLengths(path, known.value)
+    return _KEPT[name]
+
+
 def _frequent(docs: DataFrame, path: str | None, sample_docs: int, table_size: int) -> dict[str, int]:
     """The most frequent pre-tokens of a hashed sample of about sample_docs documents, with their token counts."""
     every = max(1, docs.count() // sample_docs)
@@ -96,10 +108,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, s
     counted each; further columns are ignored.
     """
     known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, path, sample_docs, table_size))
-    held: dict[int, PretokenLengths] = {}
+    name = uuid.uuid4().hex
 
     def counted(batches):
-        lengths = held.setdefault(0, None) or PretokenLengths(path, known.value)
+        lengths = _reader(name, path, known)
         for b in batches:
             n = [lengths.count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(n, np.int64))], names=["doc_id", "n_bytes", "n_tokens"])

@@ -98,15 +98,18 @@ def _gather(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
-    """Trains on at most max_labelled labelled documents outside the held-out fold, chosen by a hash of doc_id.
+    """Trains on about max_labelled labelled documents at most outside the held-out fold, chosen by a hash of doc_id.
 
-    Equal texts with equal labels count once; null ids, null labels and labels without a document are ignored.
+    Equal texts with equal labels count once, so repeated rows do; of labels that contradict each other the
+    greater counts; null ids, null labels and labels without a document are ignored.
     """
     usable = labels.filter(fold("doc_id", folds) != held_out).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("int").alias("y"))
-    chosen = materialize(usable.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_labelled), "quality-rows")
+    usable = materialize(usable, "quality-labels")
+    chosen = usable.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, max_labelled / max(1, usable.count())) * (1 << 20)))
+    chosen = materialize(chosen, "quality-rows")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    rows = texts.mapInArrow(_gather, "y int, buckets binary, counts binary").toLocalIterator()
+    rows = texts.mapInArrow(_gather, "y int, buckets binary, counts binary").distinct().toLocalIterator()
     unique = {(bytes(r.buckets), bytes(r.counts), r.y) for r in rows}
     return train([(np.frombuffer(x, np.int32), np.frombuffer(n, np.int32), y) for x, n, y in sorted(unique)])
 
@@ -114,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, m
 def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each input row.
 
-    score uses the whole text only; null and empty texts get the bias alone. A null doc_id has the fold of
+    score uses the whole text only, so equal texts have equal scores; null and empty texts get the bias alone. A null doc_id has the fold of
     the empty text; repeated rows are scored each; an empty table gives an empty result; further columns
     are ignored.
     """

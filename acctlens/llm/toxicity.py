@@ -4,6 +4,10 @@ A sparse linear classifier over hashed words is trained with numpy on confirmed
 unlabelled text. With the class prior p, the risk of calling text non-toxic is estimated as
 R_u(-) - p R_p(-); where that estimate of a batch is negative, which a true risk can't be, the step that
 would push it further down is reversed instead (the non-negative estimator).
+
+The classifier begins with all confirmed examples and some unlabelled texts, which also choose its words.
+Then it is trained on with all unlabelled text: each text is reduced to the chosen words that it has, equal
+ones are counted, and every step adds up the risk's slopes over all of these in a distributed pass.
 """
 
 from __future__ import annotations
@@ -15,8 +19,10 @@ from pyspark.sql import functions as F
 
 from ._common import fold, joined, materialize, mix, prefix_hash, slices, span_hash, spans, table
 
-#: Hash buckets (as a power of two), lengths in bytes of the prefixes, and the most rows that training gathers of each kind.
-BITS, PREFIXES, MAX_POSITIVE, MAX_UNLABELLED = 18, (4, 5), 4_000, 8_000
+#: Hash buckets (as a power of two), lengths in bytes of the prefixes, and about how many confirmed and unlabelled rows training begins with at most.
+BITS, PREFIXES, MAX_POSITIVE, BEGIN_UNLABELLED = 18, (4, 5), 4_000, 8_000
+#: Steps over all unlabelled text, and their rate.
+STEPS, RATE = 20, 0.05
 THRESHOLD = 0.3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,12 +47,17 @@ def word_buckets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def families(rows: list[np.ndarray], sketch: int = 4) -> list[np.ndarray]:
-    """One row of each family of copies: rows whose `sketch` least hashed buckets agree count once."""
+def family(row: np.ndarray, sketch: int = 4) -> bytes:
+    """What copies have in common: the `sketch` least hashed buckets of a row."""
+    h = mix(row.astype(np.uint64) + np.uint64(1))
+    return np.sort(np.partition(h, sketch)[:sketch]).tobytes() if len(h) > sketch else np.sort(h).tobytes()
+
+
+def families(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """One row of each family of copies."""
     seen, out = set(), []
     for x in rows:
-        h = mix(x.astype(np.uint64) + np.uint64(1))
-        key = np.sort(np.partition(h, sketch)[:sketch]).tobytes() if len(h) > sketch else np.sort(h).tobytes()
+        key = family(x)
         if key not in seen:
             seen.add(key)
             out.append(x)
@@ -124,47 +135,119 @@ def _descend(positive, unlabelled, prior: float, l1: float, epochs: int = 50, lr
     return weights, float(b)
 
 
+def slopes(rows: list[np.ndarray], n: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float, float]:
+    """Sums over rows of slots, each n times, of softplus(z), of its slope by weight, and of its slope by the bias."""
+    size = np.array([len(x) for x in rows], np.int64)
+    of, c = np.repeat(np.arange(len(rows)), size), np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+    z = b + np.bincount(of, w[c], len(rows))
+    s = n / (1 + np.exp(-np.clip(z, -40, 40)))
+    return np.bincount(c, s[of], len(w)), float(s.sum()), float((n * np.logaddexp(0, z)).sum())
+
+
+def refine(positive: list[np.ndarray], patterns: DataFrame, w: np.ndarray, b: float, prior: float, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float]:
+    """(w, b) after Adam steps on the non-negative risk over all of patterns (slots, n) and the positive rows of slots."""
+    n_u = patterns.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not positive or not n_u or not len(w):
+        return w, b
+    ones = np.ones(len(positive))
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        held = patterns.sparkSession.sparkContext.broadcast((w, b))
+
+        def summed(batches, held=held):
+            w, b = held.value
+            total = np.zeros(len(w) + 2)
+            for batch in batches:
+                rows = [np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()]
+                g, gb, loss = slopes(rows, batch.column(1).to_numpy(), w, b)
+                total += np.concatenate((g, [gb, loss]))
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "x"])
+
+        u = np.zeros(len(w) + 2)
+        for r in patterns.mapInArrow(summed, "slot long, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect():  # a row for each weight
+            u[r.slot] = r.x / n_u
+        held.unpersist()
+        g, gb, loss = slopes(positive, ones, w, b)
+        p = prior * np.concatenate((g, [gb, loss])) / len(positive)
+        count = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]).astype(np.int64), minlength=len(w))
+        toxic = p[:-1] - prior * np.concatenate((count, [len(positive)])) / len(positive)
+        grad = toxic + u[:-1] - p[:-1] if u[-1] >= p[-1] else p[:-1] - u[:-1]
+        m += 0.1 * (grad - m)
+        v += 0.01 * (grad * grad - v)
+        step = rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        w, b = w - step[:-1], b - float(step[-1])
+    return w, b
+
+
 def scores(texts: list[bytes | None], weights: np.ndarray, bias: float) -> np.ndarray:
     doc, bucket = word_buckets(texts)
     z = bias + np.bincount(doc, weights[bucket], len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _rows(batch):
+    """Distinct buckets of each text (column 1) of an Arrow batch, part by part, with the part."""
+    for b in slices(batch):
+        doc, bucket = word_buckets(b.column(1).to_pylist())
+        cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        yield b, [bucket[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+
 def _gather(batches):
     for batch in batches:
-        for b in slices(batch):
-            doc, bucket = word_buckets(b.column(1).to_pylist())
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            packed = [bucket[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(packed, pa.binary())], names=["is_positive", "buckets"])
+        for b, rows in _rows(batch):
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary())], names=["is_positive", "buckets"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, float]:
-    """Trains on at most max_positive confirmed toxic and max_unlabelled other documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_positive: int = MAX_POSITIVE, begin_unlabelled: int = BEGIN_UNLABELLED) -> tuple[np.ndarray, float]:
+    """Trains on about max_positive confirmed toxic documents at most and all others outside the held-out fold.
 
-    The rows are chosen by a hash of doc_id; equal texts count once. The class prior is the share of toxic
-    rows among the labelled ones outside that fold. Null ids, null labels and labels without a document are ignored.
+    The confirmed rows, and the about begin_unlabelled others that training begins with, are chosen by hashes;
+    equal texts and copies count once, as do repeated rows; a doc_id with several texts stands for each of
+    them. The class prior is the share of toxic rows among the labelled ones outside that fold. Null ids,
+    null labels and labels without a document are ignored; of labels that contradict each other both count.
     """
     spark = docs.sparkSession
     usable = labels.filter(fold("doc_id", folds) != held_out).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long"), "toxic")
-    share = usable.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
-    order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    positive = usable.filter("toxic > 0").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive)
-    ids = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").filter(fold("doc_id", folds) != held_out)
-    other = ids.orderBy(order, "doc_id").limit(max_unlabelled)
-    chosen = positive.select("doc_id", F.lit(True).alias("is_positive")).union(other.select("doc_id", F.lit(False)))
-    chosen = materialize(chosen, "toxicity-rows")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "is_positive")
-    rows = texts.mapInArrow(_gather, "is_positive boolean, buckets binary").toLocalIterator()
-    unique = {(r.is_positive, bytes(r.buckets)) for r in rows}
+    share, n_toxic = usable.agg(F.avg((F.col("toxic") > 0).cast("double")), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
+    prior = min(0.9, max(1e-3, share or 0.0))
+    texts = docs.filter("doc_id IS NOT NULL").filter(fold("doc_id", folds) != held_out).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    part = lambda n, most, *c: F.pmod(F.xxhash64(F.lit("toxicity"), *c), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
+    positive = materialize(usable.filter("toxic > 0").filter(part(n_toxic, max_positive, "doc_id")).select("doc_id").distinct(), "toxicity-rows")
+    confirmed = texts.join(F.broadcast(positive), "doc_id").select("doc_id", "text", F.lit(True).alias("is_positive"))
+    begin = texts.filter(part(texts.count(), begin_unlabelled, "doc_id", "text")).select("doc_id", "text", F.lit(False))
+    rows = confirmed.union(begin).mapInArrow(_gather, "is_positive boolean, buckets binary").distinct()
+    unique = [(r.is_positive, bytes(r.buckets)) for r in rows.toLocalIterator()]
     arrays = lambda kind: [np.frombuffer(x, np.int32).astype(np.int64) for k, x in sorted(unique) if k is kind]
-    return train(arrays(True), arrays(False), min(0.9, max(1e-3, share)))
+    toxic = arrays(True)
+    weights, bias = train(toxic, arrays(False), prior)
+    chosen = np.flatnonzero(weights)
+    if not len(chosen):
+        return weights, bias
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen))
+    held = spark.sparkContext.broadcast(slot)
+
+    def reduced(batches):
+        slot = held.value
+        for batch in batches:
+            for _, rows in _rows(batch):
+                have = [slot[x] for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([family(x) for x in rows], pa.binary()), pa.array([x[x >= 0].tobytes() for x in have], pa.binary())], names=["family", "slots"])
+
+    # One row of each family; then equal rows are counted.
+    patterns = texts.mapInArrow(reduced, "family binary, slots binary").groupBy("family").agg(F.min("slots").alias("slots")).groupBy("slots").agg(F.count("*").alias("n"))
+    patterns = materialize(patterns, "toxicity-patterns")
+    w, bias = refine([x[x >= 0] for x in (slot[r] for r in families(toxic))], patterns, weights[chosen].astype(np.float64), bias, prior)
+    weights[chosen] = w
+    return weights, bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each input row.
 
-    score uses the whole text only; null and empty texts get the bias alone. A null doc_id has the fold of
+    score uses the whole text only, so equal texts have equal scores; null and empty texts get the bias alone. A null doc_id has the fold of
     the empty text; repeated rows are scored each; an empty table gives an empty result; further columns
     are ignored.
     """

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontaminate, line_dedup, lm_scoring, mixing, quality, quality_rules, simhash, token_counts, toxicity, warc
+from . import decontaminate, line_dedup, lm_scoring, mixing, pipeline, quality, quality_rules, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op3_line_dedup": line_dedup.op3_line_dedup,

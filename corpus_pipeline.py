@@ -1,61 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+"""The corpus pipeline over `documents`: each stage's result is written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
-documents; nulls, empty texts, repeated rows and further columns are treated as the stage's operator says.
+The stages are defined in acctlens.llm.pipeline.
 """
 
-from __future__ import annotations
+from acctlens.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from acctlens.llm import decontaminate, line_dedup, mixing, quality, simhash
-from acctlens.llm._common import materialize, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among docs, rejects go."""
-    docs = docs.select(*COLUMNS)
-    return quality.keep_accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-
-
-def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars is counted anew."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    gone = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(materialize(gone, "pipeline-gone"), F.col("gone") == F.col("doc_id"), "left_anti").select(*COLUMNS)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage that holds a benchmark item go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document in the mixture."""
-    return mixing.mix_sources(docs)
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_deduplication),
-    ("SimHash near-dedup", simhash_near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("source mixing", source_mixing),
-]
-#: SQL can't express the classifier; the stages are tested against brute force instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

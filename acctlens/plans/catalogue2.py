@@ -519,11 +519,12 @@ def _engine_vectors(spark, d, accounts=None) -> dict[str, DataFrame]:
     own = rows.select(F.col("id").alias("account_id"), "key").join(vectors, "key").select("account_id", "embedding")
     features = kept(_features(spark, d), "features")
     fitted = features if accounts is None else features.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
-    return {
+    engines = {
         "stylometry": Y.style_vectors(messages, WORDS, fitted_on=accounts),
         "semantic": cmp.semantic_vectors(own, accounts),
         "chronobiology": K.vectors(features, K.fit(fitted)),
     }
+    return {name: kept(v, name) for name, v in engines.items()}
 
 
 def shortlist(spark, d) -> DataFrame:

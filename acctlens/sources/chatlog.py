@@ -48,8 +48,44 @@ def first_error(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules], F.lit(None).cast("string"))
 
 
-def _no_constant(_):
-    raise ValueError
+def _strict_json(text: str):
+    """JSON without NaN and infinities; None where the text is none (a JSON null is no record anyhow)."""
+    def refuse(_):
+        raise ValueError
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except ValueError:
+        return None
+
+
+def _csv_rows(text: str) -> list[dict]:
+    reader = csv.DictReader(io.StringIO(text, newline=""))
+    try:
+        named, rows = reader.fieldnames, list(reader)
+    except csv.Error:
+        raise ContractError("csv") from None
+    if named is None:
+        raise ContractError("csv_header")
+    if any(None in r for r in rows):
+        raise ContractError("csv_row")
+    return rows
+
+
+def _json_rows(text: str) -> list[dict]:
+    """One document (a list, an object with a list of messages, or a message), else an object on each line; nothing at all is an error."""
+    whole = _strict_json(text)
+    if whole is None:
+        rows = [_strict_json(line) for line in text.splitlines() if line.strip()]
+        if rows and None not in rows and not all(isinstance(r, dict) for r in rows):
+            raise ContractError("record")
+        whole = rows or None
+    elif isinstance(whole, dict):
+        inner = whole.get("messages")
+        whole = inner if isinstance(inner, list) else [whole]
+    if not isinstance(whole, list) or not all(isinstance(r, dict) for r in whole):
+        raise ContractError("json")
+    return whole
 
 
 def _records(data: bytes, kind: str) -> list[dict]:
@@ -57,23 +93,7 @@ def _records(data: bytes, kind: str) -> list[dict]:
         text = data.decode("utf-8", "strict")
     except UnicodeDecodeError:
         raise ContractError("path") from None
-    if kind == "csv":
-        rows = list(csv.DictReader(io.StringIO(text, newline="")))
-        if any(None in x for x in rows):
-            raise ContractError("csv")
-        return rows
-    load = lambda s: json.loads(s, parse_constant=_no_constant)
-    try:
-        try:
-            whole = load(text)
-            rows = whole if isinstance(whole, list) else whole["messages"] if isinstance(whole, dict) and isinstance(whole.get("messages"), list) else [whole]
-        except json.JSONDecodeError:
-            rows = [load(line) for line in text.splitlines() if line.strip()]
-    except ValueError:
-        raise ContractError("json") from None
-    if not all(isinstance(x, dict) for x in rows):
-        raise ContractError("json")
-    return rows
+    return _csv_rows(text) if kind == "csv" else _json_rows(text)
 
 
 def _flag(value, true_values) -> bool:
@@ -130,9 +150,9 @@ def ingest(spark: SparkSession, paths: list[str], settings: IngestSettings = Ing
 
 def checked_duplicates(messages: DataFrame, dedupe: bool = True) -> DataFrame:
     """One message for each (game, message id). Repeats within a source, differing payloads, and any repeat without dedupe are errors."""
-    payload = F.xxhash64("account_id", "channel_id", "timestamp_utc", "text", "is_system")
+    payload = F.struct("account_id", "channel_id", "timestamp_utc", "text", "is_system")
     g = messages.groupBy("game_id", "message_id").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"), F.min(payload).alias("lo"), F.max(payload).alias("hi"))
-    bad = (F.col("n") > F.col("sources")) | (F.col("lo") != F.col("hi")) | ((F.col("n") > 1) & F.lit(not dedupe))
+    bad = (F.col("n") > F.col("sources")) | ~F.col("lo").eqNullSafe(F.col("hi")) | ((F.col("n") > 1) & F.lit(not dedupe))
     if not g.filter(bad).isEmpty():
         raise ContractError("message_id")
     from pyspark.sql import Window
@@ -171,10 +191,3 @@ def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     if not out.groupBy("a", "b").agg(F.count_distinct("label").alias("n")).filter("n > 1").isEmpty():
         raise ContractError("label")
     return out
-
-
-def canonical_json(value) -> bytes:
-    try:
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
-    except (TypeError, ValueError):
-        raise ContractError("json", ErrorCode.ARTIFACT_INVALID) from None

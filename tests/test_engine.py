@@ -62,16 +62,58 @@ def test_features_of_one_event_and_of_a_uniform_day(spark):
 
 
 def test_structural_values(spark):
-    text = "A  B!!!...🙂 looo"
-    n = len(text)
-    f = {r.idx: r.value for r in Y.structural(messages(spark, [(0, text)])).collect()}
-    assert f[0] == pytest.approx(1 / n) and f[1] == f[14] == pytest.approx(3 / n) and f[33] == pytest.approx(2 / n)
-    assert f[34] == pytest.approx(2 / 6) and f[35] == f[36] == pytest.approx(1 / n) and f[37] == n
-
-
-def test_masking():
-    mask = X.masker(("Player",), ("Dragon",))
-    assert mask("  MiXeD  sooooo    @Player https://example.test/a 123 Dragon") == "MiXeD sooooo [USER] [URL] [NUM] [GAME_TERM]"
+    texts = ["Où  est?? la gareee  ", "wait.... no…… (🎲)", "ABC ǅ ｘｘｘ --"]
+    whole = sum(map(len, texts))
+    f = {r.idx: r.value for r in Y.structural(messages(spark, list(enumerate(texts)))).collect()}
+    letters = [c for t in texts for c in t if c.isalpha()]
+    assert f[0] == pytest.approx(sum(t[i : i + 2] == "  " for t in texts for i in range(len(t))) / whole)
+    for i, c in enumerate(X.PUNCTUATION, 1):
+        assert f[i] == pytest.approx(sum(t.count(c) for t in texts) / whole)
+    # "??", "....", two ellipses and "--"; "eee" and the wide x; one die.
+    assert f[33] == pytest.approx(5 / whole) and f[35] == pytest.approx(2 / whole) and f[36] == pytest.approx(1 / whole)
+    assert f[34] == pytest.approx(sum(c.isupper() for c in letters) / len(letters)) and f[37] == pytest.approx(whole / 3)
+
+
+def plain_mask(text, names, terms):
+    """The masking chain, a character position at a time: the longest term that stands alone wins."""
+    import re
+    import unicodedata
+
+    def replace(text, listed, at, to):
+        out, i = "", 0
+        while i < len(text):
+            start = i + (at and text[i] == "@" and i + 1 < len(text))
+            found = 0
+            for w in listed:
+                end = start + len(w)
+                if text[start:end].lower() == w.lower() and end <= len(text) and not re.match(r"\w", text[end : end + 1] or " "):
+                    found = max(found, end)
+            before = text[i - 1] if i else " "
+            alone = not re.match(r"[\w@]" if at else r"\w", before)
+            out, i = (out + to, found) if found and alone else (out + text[i], i + 1)
+        return out
+
+    text = unicodedata.normalize("NFC", text)
+    text = replace(text, names, True, "[USER]") if names else text
+    text = re.sub(r"(?<!\w)@[\w.-]+", "[USER]", text)
+    text = re.sub(r"\b(?:https?://|www\.)[^\s]+", "[URL]", text, flags=re.I)
+    text = re.sub(r"(?<!\w)\d+(?:[.,]\d+)*(?!\w)", "[NUM]", text)
+    text = replace(text, terms, False, "[GAME_TERM]") if terms else text
+    return " ".join(text.split())
+
+
+def test_masking(spark):
+    names, terms = ["Zoë", "lag-king", "Lag"], ["fire", "Fire-Bolt", "fire bolt II"]
+    rng = random.Random(5)
+    bits = [*names, *terms, "@", "@zoë", "zoe\u0308", "x", "-", " ", "  ", "\t", "FIRE", "bolt", " ii", "3.5", "12,000", "v2", "www.a.b/c?d", "HTTPS://q", "@no.one", "."]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    mask = X.masker(names, terms)
+    want = [plain_mask(t, names, terms) for t in texts]
+    assert [mask(t) for t in texts] == want
+    import unicodedata
+
+    rows = spark.createDataFrame([(i, unicodedata.normalize("NFC", t)) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.m for r in rows.select("i", X.mask_sql(F.col("text"), names, terms).alias("m")).orderBy("i").collect()] == want
 
 
 def test_hashed_grams_stay_in_messages(spark):

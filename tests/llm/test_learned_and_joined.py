@@ -392,8 +392,11 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
+    import corpus_pipeline as script
 
+    from acctlens.llm import pipeline as corpus_pipeline
+
+    assert script.STAGES is corpus_pipeline.STAGES and script.run is corpus_pipeline.run and script.ORACLE_SQL is None
     rng = random.Random(9)
     items = [(k, sentence(rng, 30) + ". " + sentence(rng, 8) + ".") for k in range(5)]
     good = ["\n".join(sentence(rng, 15, 3000) + "." for _ in range(4)) for _ in range(60)]

@@ -24,6 +24,8 @@ K1, B = 1.2, 0.75
 BLOCK, HALF, LEAST_SCORE, LEAST_OVERLAP, WIDTH = 4, 64, 0.5, 0.8, 5
 #: Most bytes of item texts in one broadcast index; more items are searched shard by shard.
 SHARD_BYTES = 16 << 20
+#: Bytes of text handled at once.
+SLICE = 1 << 19
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -162,7 +164,7 @@ class Index:
         joins[ok] = ~last[before[ok]]
         both = np.unique(np.concatenate((h * n_terms + t, before[joins] * n_terms + t[joins])))
         p, t = both // n_terms, both % n_terms
-        rows = max(1, (4 << 20) // max(1, self.blocks))
+        rows = max(1, min(int(base[-1]), (4 << 20) // max(1, self.blocks)))
         for lo in range(0, base[-1], rows):
             a, b = np.searchsorted(p, [lo, lo + rows])
             n = self.b_first[t[a:b] + 1] - self.b_first[t[a:b]]
@@ -250,7 +252,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
 
         def search(batches, held=held):
             for batch in batches:
-                for b in slices(batch, 2 << 20):
+                for b in slices(batch, SLICE):
                     words, cut = hashed_words(b.column(1).to_pylist())
                     ids = b.column(0).to_pylist()
                     flat = []

@@ -18,6 +18,8 @@ from ._common import fold, joined, materialize, prefix_hash, slices, span_hash,
 #: Hash buckets (as a power of two), dimensions, n-gram lengths in bytes, and the most labelled rows that training gathers.
 BITS, DIM, NGRAMS, MAX_LABELLED = 17, 12, (3, 4), 2_500
 THRESHOLD = 0.3
+#: Bytes of text handled at once: a feature takes some 50 bytes for a moment, and there are about three for each byte.
+SLICE = 1 << 18
 _REPEAT = np.uint64(0x5DEECE66D0F1E2D3)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -38,7 +40,7 @@ def features(texts: list[bytes | None]):
     yield doc[again], np.full(len(again), int(_REPEAT >> shift), np.int32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))
     for n in NGRAMS:
-        i = np.arange(max(0, len(data) - n))
+        i = np.arange(max(0, len(data) - n + 1))
         i = i[owner[i] == owner[i + n - 1]]
         yield owner[i], (span_hash(c, i, i + n) >> shift).astype(np.int32)
 
@@ -90,7 +92,7 @@ def scores(texts: list[bytes | None], odds: np.ndarray, bias: float) -> np.ndarr
 
 def _gather(batches):
     for batch in batches:
-        for b in slices(batch):
+        for b in slices(batch, SLICE):
             got = counted(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(2), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())], names=["y", "buckets", "counts"]
@@ -126,7 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], folds: int = 5, held
     def scored(batches):
         odds, bias = held.value
         for batch in batches:
-            for b in slices(batch, 2 << 20):
+            for b in slices(batch, SLICE):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores(b.column(1).to_pylist(), odds, bias))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
@@ -142,7 +144,7 @@ def keep_accepted(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame
     def kept(batches):
         odds, bias = held.value
         for batch in batches:
-            for b in slices(batch, 2 << 20):
+            for b in slices(batch, SLICE):
                 good = scores(b.column(1).to_pylist(), odds, bias) >= THRESHOLD
                 rest = pa.RecordBatch.from_arrays(b.columns[2:], names=names)
                 yield rest.filter(pa.array(good))

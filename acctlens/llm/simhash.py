@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import materialize, slices, table
 from .components import components
 
 #: Segments held by more fingerprints than this are looked up at the second level.
@@ -49,9 +49,10 @@ def simhash(text: bytes | None, width: int = 3) -> int:
 
 
 def _fingerprint_batches(batches):
-    for b in batches:
-        fp = np.array([simhash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+    for batch in batches:
+        for b in slices(batch, 1 << 20):
+            fp = np.array([simhash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
     distinct = (F.col("node") != F.col("p_node")) & ~((F.col("key") == F.col("p_key")) & (F.col("node") < F.col("p_node")))
     pair = [F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")]
     if crowded.isEmpty():
-        found = index.join(probes, ["seg", "key"])
+        found = index.hint("merge").join(probes, ["seg", "key"])
         return found.filter(distinct & (whole <= 3)).select(*pair).distinct()
     plain = index.join(crowded, ["seg", "key"], "left_anti").join(probes, ["seg", "key"])
     # The other segment differs in at most three bits, so one of its halves differs in at most one.
@@ -123,8 +124,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = materialize(fingerprints(docs), "simhash-fp")
     classes = materialize(marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
     reached = components(links(classes))
-    named = classes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = marked.join(named, "fp", "left")
+    named = classes.hint("merge").join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    out = marked.hint("merge").join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 

@@ -187,3 +187,12 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         else:
             assert Counter(got) == Counter(r[0] for r in rows) or name == "quality classifier"
     assert pipeline.STAGES[2][1](spark, docs.select("doc_id", "text"), str(tmp_path)).columns == columns
+
+
+def test_quality_of_a_text_is_the_same_in_any_slice():
+    texts = [b"alpha beta, gamma.", b"delta", None, b"x y zz " * 40, b"alpha beta, gamma."]
+    odds = np.random.default_rng(0).standard_normal(1 << quality.BITS).astype(np.float32)
+    whole = quality.scores(texts, odds, 0.1)
+    assert np.allclose(whole, np.concatenate([quality.scores([t], odds, 0.1) for t in texts]), atol=1e-12) and whole[0] == pytest.approx(whole[4], abs=1e-12)
+    for (a, n), (b, m) in zip(quality.counted(texts), [quality.counted([t])[0] for t in texts]):
+        assert np.array_equal(a, b) and np.array_equal(n, m)

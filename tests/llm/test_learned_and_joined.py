@@ -331,6 +331,34 @@ def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
     assert len(pairs) > 100 and set(got) <= {2 * i + 1 for i in range(len(pairs))} and len(got) >= 0.97 * len(pairs)
 
 
+def crowded_block(n_pairs, seed=36):
+    """Pairs of similar lines that share only the runs of words that all of the lines begin with, and the numbers of the lines that repeat others by plain edit similarity."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    lines = []
+    for _ in range(n_pairs):
+        last = word()
+        lines += [f"received forwarded message subject {word()} {last}" for _ in range(2)]
+    at = list(range(len(lines)))
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, j in itertools.combinations(at, 2):
+        if plain_distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])):
+            at[max(top(i), top(j))] = min(top(i), top(j))
+    return lines, {i for i in range(len(lines)) if top(i) != i}
+
+
+def test_line_dedup_compares_crowded_blocks_whole(spark):
+    """Lines whose only common blocks hold very many lines, most of them unlike the block's least one."""
+    lines, want = crowded_block(100)
+    got = {r.doc_id: r.dropped for r in line_dedup.duplicates(docs_of(spark, lines)).collect()}
+    assert 90 < len(want) < 150 and got == {i: [0] for i in want}
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}

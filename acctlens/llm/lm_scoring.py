@@ -4,9 +4,9 @@ A text is the sequence of the subword ids of its lower-cased words, then one end
 two steps, p(id | before) = p(class | before) p(id | class). The class probabilities come from one layer of
 causal self-attention over a window of ids; windows overlap, so that every id is scored once and with some
 context. p(id | class) comes from the counts of ids in all training texts, and so do the ids with an input
-vector of their own. Classes are clustered by the neighbours of ids in a fixed share of the training texts;
-the attention weights begin with a fit on few texts, then every task goes on from there with its part of that
-share, and the tasks' weights are averaged. So what is learnt from grows with the input.
+vector of their own. Classes are clustered by the neighbours of ids in all training texts; the attention weights
+begin with a fit on few texts, then every task goes on from there with its part of all training texts, and the
+tasks' weights are averaged.
 
 Beside it stands a unigram base over words. Its counts cover all training texts; words more frequent than a
 threshold (chosen so that at most MAX_FREQUENT are) are broadcast, the others are joined by their hash. Words
@@ -28,10 +28,10 @@ from ._common import fold, joined, materialize, prefix_hash, slices, span_hash,
 WINDOW, STRIDE, DIM, CLASSES, OWN = 32, 24, 16, 64, 4_000
 #: Most words that are broadcast, words in a worker's cache, and bytes of text handled at once.
 MAX_FREQUENT, CACHE_WORDS, SLICE = 300_000, 100_000, 1 << 20
-#: One training text in so many is fitted on, and the most subword ids of the texts that fitting begins with.
+#: One training text in so many may be among those that fitting begins with, before it goes on with all, and the most subword ids of these.
 FIT_EVERY, BEGIN_IDS = 24, 400_000
-#: Neighbours that tell ids apart, and ids that are fitted on at once.
-NEAR, FIT_IDS = 256, 100_000
+#: Neighbours that tell ids apart, ids that a task fits on at once, and windows of its steps.
+NEAR, FIT_IDS, FIT_BATCH = 256, 400_000, 512
 _CONTEXT = WINDOW - STRIDE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -235,8 +235,7 @@ class Model:
             g["D"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), (ds.sum(0) * (j <= i)).ravel(), WINDOW).astype(np.float32)
             de = dk @ p["Wk"].T + dv @ p["Wv"].T
             de[:, _CONTEXT:] += dq @ p["Wq"].T * scale + dh @ p["Wr"].T
-            g["E"] = np.zeros_like(p["E"])
-            np.add.at(g["E"], x.ravel(), flat(de))
+            g["E"] = np.stack([np.bincount(x.ravel(), d, len(p["E"])) for d in flat(de).T], axis=1).astype(np.float32)
             t += 1
             rate = lr * (1 - 0.9 * t / len(groups)) * (1 - 0.98**t) ** 0.5 / (1 - 0.9**t)
             for name, d in g.items():
@@ -367,9 +366,9 @@ def _frequent(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]
     return threshold, keys[order], n[order]
 
 
-def _counted_neighbours(sample: DataFrame, n: np.ndarray, path: str | None) -> np.ndarray:
-    """Sums of `neighbours` over the texts of sample; a table of fixed size, added up before it reaches the driver."""
-    held = sample.sparkSession.sparkContext.broadcast(leads(n))
+def _counted_neighbours(texts: DataFrame, n: np.ndarray, path: str | None) -> np.ndarray:
+    """Sums of `neighbours` over all texts; a table of fixed size, added up before it reaches the driver."""
+    held = texts.sparkSession.sparkContext.broadcast(leads(n))
 
     def counted(batches):
         subwords, (lead, place) = Subwords(path), held.value
@@ -382,14 +381,14 @@ def _counted_neighbours(sample: DataFrame, n: np.ndarray, path: str | None) -> n
             yield pa.RecordBatch.from_arrays([pa.array(used[i : i + (1 << 17)]), pa.array(total[used[i : i + (1 << 17)]])], names=["cell", "n"])
 
     out = np.zeros((int(leads(n)[0].max(initial=-1)) + 1) * 2 * NEAR, np.int64)
-    for r in sample.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.cell] = r.n
     return out
 
 
-def _averaged(sample: DataFrame, model: Model, path: str | None) -> None:
-    """Goes on fitting: every task from the model as it is with its texts of sample; the model gets the means of the tasks' weights, by their numbers of ids."""
-    held = sample.sparkSession.sparkContext.broadcast(model)
+def _averaged(texts: DataFrame, model: Model, path: str | None) -> None:
+    """Goes on fitting: every task from the model as it is with its part of the texts; the model gets the means of the tasks' weights, by their numbers of ids."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
 
     def fitted(batches):
         import copy
@@ -400,7 +399,7 @@ def _averaged(sample: DataFrame, model: Model, path: str | None) -> None:
         def step():
             nonlocal seen
             stream = np.concatenate(ids)
-            own.fit(stream, np.array(cut), epochs=1, lr=0.003, seed=seen, anew=False)
+            own.fit(stream, np.array(cut), epochs=1, batch=FIT_BATCH, lr=0.003, seed=seen, anew=False)
             seen += len(stream)
 
         for batch in batches:
@@ -416,7 +415,7 @@ def _averaged(sample: DataFrame, model: Model, path: str | None) -> None:
             flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), seen))], names=["slot", "total", "n"])
 
-    means = sample.mapInArrow(fitted, "slot long, total double, n long").groupBy("slot").agg((F.sum("total") / F.sum("n")).alias("x"))
+    means = texts.mapInArrow(fitted, "slot long, total double, n long").groupBy("slot").agg((F.sum("total") / F.sum("n")).alias("x"))
     flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
     for r in means.toLocalIterator():
         flat[r.slot] = r.x
@@ -444,8 +443,9 @@ def _begun(sample: DataFrame, model: Model, subwords: Subwords) -> None:
 def lm_scores(docs: DataFrame, path: str | None = None, folds: int = 10, held_out: int = 0, max_frequent: int = MAX_FREQUENT, fit_every: int = FIT_EVERY) -> DataFrame:
     """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts cover every document outside the held-out fold; the attention weights are fitted on one in
-    fit_every of these, chosen by a hash of doc_id and text. Whole texts are scored; null and empty ones are
+    Counts cover every document outside the held-out fold, and so do the neighbours that tell the classes and
+    the fit of the attention weights. Only the texts that the fit begins with are chosen: the first ones of one
+    in fit_every, by a hash of doc_id and text. Whole texts are scored; null and empty ones are
     one end token; a long text is handled in pieces of SLICE bytes. Repeated rows count and are scored each; a
     null doc_id has the fold of the empty text. An empty table gives an empty result. Without training rows,
     or with none counted, base and model fall back to their smoothed form over no counts (N = 0). Further
@@ -463,10 +463,10 @@ def lm_scores(docs: DataFrame, path: str | None = None, folds: int = 10, held_ou
     for r in count_subwords(words, path).toLocalIterator():
         by_id[r.id] = r.n
     by_id[subwords.end] += n_train
-    sample = training.filter(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(fit_every)) == 0).select("doc_id", "text")
-    model = Model(*classes(by_id, _counted_neighbours(sample, by_id, path)))
-    _begun(sample, model, subwords)
-    _averaged(sample, model, path)
+    texts = training.select("doc_id", "text")
+    model = Model(*classes(by_id, _counted_neighbours(texts, by_id, path)))
+    _begun(texts.filter(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(fit_every)) == 0), model, subwords)
+    _averaged(texts, model, path)
     model.set_counts(by_id)
     held = docs.sparkSession.sparkContext.broadcast((model, keys, often))
 

@@ -135,6 +135,17 @@ def test_lm_learns_more_than_the_base(spark):
     assert len(got) > 80 and model > base + 0.3, (model, base)
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    seen = {}
+    for name in ("_counted_neighbours", "_averaged"):
+        inner = getattr(lm_scoring, name)
+        monkeypatch.setattr(lm_scoring, name, lambda texts, *a, name=name, inner=inner: (seen.update({name: {r.doc_id for r in texts.collect()}}), inner(texts, *a))[1])
+    rng = random.Random(43)
+    got = lm_scoring.lm_scores(docs_of(spark, [sentence(rng, 20) for _ in range(120)])).collect()
+    training = {i for i in range(120) if fold(i, 10) != 0}
+    assert seen == {"_counted_neighbours": training, "_averaged": training} and all(math.isfinite(r.score) for r in got)
+
+
 NAMES = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
 
 

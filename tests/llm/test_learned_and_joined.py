@@ -370,6 +370,14 @@ def test_line_dedup_compares_crowded_blocks_whole(spark):
     assert 90 < len(want) < 150 and got == {i: [0] for i in want}
 
 
+def test_pipeline_keeps_no_line_of_crowded_blocks_twice(spark):
+    from acctlens.llm import pipeline
+
+    lines, want = crowded_block(40, seed=37)
+    out = {r.doc_id: (r.text, r.n_chars) for r in pipeline.line_deduplication(spark, docs_of(spark, lines), "").collect()}
+    assert len(want) > 35 and out == {i: ("", 0) if i in want else (t, len(t)) for i, t in enumerate(lines)}
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}

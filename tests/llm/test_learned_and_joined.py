@@ -378,6 +378,42 @@ def test_pipeline_keeps_no_line_of_crowded_blocks_twice(spark):
     assert len(want) > 35 and out == {i: ("", 0) if i in want else (t, len(t)) for i, t in enumerate(lines)}
 
 
+@pytest.mark.parametrize("whole", [6, 30])
+def test_line_dedup_compares_very_large_blocks_by_rare_words(spark, monkeypatch, whole):
+    """The same groups where blocks are too large for pairs of signatures, with lines that are mostly the words that all share."""
+    monkeypatch.setattr(line_dedup, "WHOLE", whole)
+    lines, want = crowded_block(60, seed=38)
+    got = {r.doc_id: r.dropped for r in line_dedup.duplicates(docs_of(spark, lines)).collect()}
+    assert len(want) > 50 and got == {i: [0] for i in want}
+
+
+def test_lines_that_meet_in_words_of_large_blocks(spark):
+    """Every two lines of a block with the least share of common words meet, few others do."""
+    rng = random.Random(39)
+    sets = {h: {1, 2, 3} | {rng.randrange(10, 60) for _ in range(rng.randint(0, 9))} for h in range(1, 120)}
+    lines = spark.createDataFrame([(h, sorted(w)) for h, w in sets.items()], "h long, w array<long>")
+    large = spark.createDataFrame([(7, h, 119) for h in sets], "key long, h long, size long")
+    by_word = {}
+    for r in line_dedup._met(large, lines).collect():
+        by_word.setdefault(r.x, set()).add(r.h)
+    met = {p for hs in by_word.values() for p in itertools.combinations(sorted(hs), 2)}
+    need = {p for p in itertools.combinations(sorted(sets), 2) if len(sets[p[0]] & sets[p[1]]) >= 0.6 * max(len(sets[p[0]]), len(sets[p[1]]))}
+    assert need and need <= met and not {1, 2, 3} & set(by_word)
+
+
+def test_line_dedup_computes_what_bounds_by_words_leave(spark):
+    """Long words of which four in twelve differ by a character: the bound by whole words is far over the distance allowed."""
+    rng = random.Random(40)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(18))
+    texts = []
+    for _ in range(10):
+        a = [word() for _ in range(12)]
+        texts += [" ".join(a), " ".join(w[:9] + "0" + w[10:] + "s" * (k == 11) if k in (1, 5, 8, 11) else w for k, w in enumerate(a))]
+    texts = spark.createDataFrame(list(enumerate(texts)), "h long, t string")
+    near = spark.createDataFrame([(i, i + d) for i in range(0, 18, 2) for d in (1, 2)], "a long, b long")
+    assert {(r.a, r.b) for r in line_dedup._verified(near, texts).collect()} == {(i, i + 1) for i in range(0, 18, 2)}
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}

@@ -33,6 +33,8 @@ FIT_EVERY, BEGIN_IDS = 24, 400_000
 #: Neighbours that tell ids apart, ids that a task fits on at once, and windows of its steps.
 NEAR, FIT_IDS, FIT_BATCH = 256, 400_000, 512
 _CONTEXT = WINDOW - STRIDE
+#: A product with it is a faster sum along a short axis.
+_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -50,28 +52,54 @@ class Subwords:
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
+        self.bytes = np.zeros(self.size, np.int64)
+        self.bytes[list(ranks.values())] = list(map(len, ranks))
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[int, int] = {}
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all their ids), each word encoded by itself with a space before it.
+
+        ASCII words are encoded in one call, since pieces begin anew at a space; ids' lengths tell the words apart.
+        """
+        plain = np.fromiter(map(bytes.isascii, words), bool, len(words))
+        together = [w for w, x in zip(words, plain) if x]
+        got = np.array(self.encode((b" " + b" ".join(together)).decode()) if together else [], np.int32)
+        ends, want = np.cumsum(self.bytes[got]), np.cumsum(np.fromiter(map(len, together), np.int64, len(together)) + 1)
+        last = np.minimum(np.searchsorted(ends, want), max(0, len(ends) - 1))
+        if len(together) and not np.array_equal(ends[last], want):
+            plain[:] = False
+        if plain.all():
+            return np.diff(last, prepend=-1), got
+        single = [self.encode(" " + w.decode("utf-8", "replace")) for w, x in zip(words, plain) if not x]
+        size = np.zeros(len(words), np.int64)
+        size[~plain] = list(map(len, single))
+        if plain.any():
+            size[plain] = np.diff(last, prepend=-1)
+        out, of = np.empty(size.sum(), np.int32), np.repeat(plain, size)
+        out[~of] = np.fromiter(chain.from_iterable(single), np.int32)
+        if plain.any():
+            out[of] = got
+        return size, out
+
     def ids(self, words: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, length, flat): word i's ids are flat[first[i] : first[i] + length[i]]. words: distinct hashes; spelled(i): its bytes."""
+        """(first, length, flat): word i's ids are flat[first[i] : first[i] + length[i]]. words: distinct hashes; spelled(i): the bytes of those at i."""
         if len(self.at) > CACHE_WORDS:
             self._clear()
         where = np.array([self.at.get(h, -1) for h in words.tolist()], np.int64)
         new = np.flatnonzero(where < 0)
         if len(new):
-            encode = self.encode
-            got = [encode(" " + spelled(i).decode("utf-8", "replace")) for i in new.tolist()]
+            size, flat = self.encoded(spelled(new))
             where[new] = len(self.first) - 1 + np.arange(len(new))
             self.at.update(zip(words[new].tolist(), where[new].tolist()))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(list(map(len, got)))))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.int32)))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(size)))
+            self.flat = np.concatenate((self.flat, flat))
         return self.first[where], self.first[where + 1] - self.first[where], self.flat
 
 
@@ -86,9 +114,9 @@ class Words:
         self.doc = np.searchsorted(at, self.start, "right") - 1
         self.distinct, self.example, self.which, self.n = np.unique(self.hash, return_index=True, return_inverse=True, return_counts=True)
 
-    def spelled(self, i: int) -> bytes:
-        k = self.example[i]
-        return self.data[self.start[k] : self.stop[k]].tobytes()
+    def spelled(self, i: np.ndarray) -> list[bytes]:
+        k, data = self.example[i], self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.start[k].tolist(), self.stop[k].tolist())]
 
     def distinct_bytes(self) -> pa.Array:
         """The distinct words, spelled, as an Arrow array in the order of `distinct`."""
@@ -168,8 +196,18 @@ def _bias(distance: np.ndarray, first: bool) -> np.ndarray:
 def _inputs(rows: np.ndarray, cut: np.ndarray, doc: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
     """Input row of every position of the windows: that of the id before it, `begin` at a text's start."""
     p = (at - _CONTEXT)[:, None] + np.arange(WINDOW)
-    where = np.clip(cut[doc][:, None] + p - 1, 0, len(rows) - 1)
-    return np.where(p <= 0, begin, rows[where])
+    # Only windows at a text's start reach before it, and only a text's last one beyond it.
+    out = rows.take(p + (cut[doc] - 1)[:, None], mode="clip")
+    early = np.flatnonzero(at <= _CONTEXT)
+    out[early] = np.where(p[early] <= 0, begin, out[early])
+    return out
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values (a vector for each entry of rows) by row, of n rows."""
+    k = values.shape[-1]
+    cell = (rows.ravel() * k)[:, None] + np.arange(k)
+    return np.bincount(cell.ravel(), values.ravel(), n * k).reshape(n, k).astype(np.float32)
 
 
 class Model:
@@ -188,19 +226,6 @@ class Model:
         c = counts + 0.1
         self.given = np.log(c / np.bincount(self.klass, c, CLASSES)[self.klass]).astype(np.float32)
 
-    def forward(self, x: np.ndarray, first: bool):
-        """(log p(class) of the scored positions, what the backward pass needs) of a batch of windows of input rows."""
-        p = self.p
-        e = p["E"][x]
-        k, v = e @ p["Wk"], e @ p["Wv"]
-        q, r = e[:, _CONTEXT:] @ (p["Wq"] / np.float32(DIM**0.5)), e[:, _CONTEXT:] @ p["Wr"]
-        a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -30, 30) + _bias(p["D"], first))
-        a /= a.sum(axis=2, keepdims=True)
-        h = np.tanh(a @ v + r)
-        z = h @ p["Wc"] + p["bc"]
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (e, q, k, v, a, h)
-
     def fit(self, stream: np.ndarray, cut: np.ndarray, epochs: int = 2, batch: int = 96, lr: float = 0.01, seed: int = 2, anew: bool = True) -> None:
         """Adam on the cross-entropy of the classes; only windows with a whole context are used, then those at a text's start. anew: the classes' shares are counted first."""
         rows, target = self.row[stream], self.klass[stream]
@@ -216,59 +241,91 @@ class Model:
                 groups += [(first, own[i : i + batch]) for i in range(0, len(own), batch)]
         for first, w in groups:
             x = _inputs(rows, cut, doc[w], at[w], self.begin)
-            z, (e, q, k, v, a, h) = self.forward(x, first)
             pos = at[w][:, None] + np.arange(STRIDE)
             live = pos < np.diff(cut)[doc[w]][:, None]
             y = target[np.minimum(cut[doc[w]][:, None] + pos, len(target) - 1)]
-            dz = np.exp(z)
-            np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], 2) - 1, 2)
-            dz *= (live / max(1, live.sum()))[..., None].astype(np.float32)
-            p, flat = self.p, lambda u: u.reshape(-1, u.shape[-1])
-            dh = (dz @ p["Wc"].T) * (1 - h * h)
-            da = dh @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            scale = np.float32(DIM**-0.5)
-            dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-            late = e[:, _CONTEXT:]
-            g = {"Wc": flat(h).T @ flat(dz), "bc": flat(dz).sum(0), "Wq": flat(late).T @ flat(dq) * scale, "Wk": flat(e).T @ flat(dk), "Wv": flat(e).T @ flat(dv), "Wr": flat(late).T @ flat(dh)}
-            i, j = np.arange(_CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None]
-            g["D"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), (ds.sum(0) * (j <= i)).ravel(), WINDOW).astype(np.float32)
-            de = dk @ p["Wk"].T + dv @ p["Wv"].T
-            de[:, _CONTEXT:] += dq @ p["Wq"].T * scale + dh @ p["Wr"].T
-            g["E"] = np.stack([np.bincount(x.ravel(), d, len(p["E"])) for d in flat(de).T], axis=1).astype(np.float32)
             t += 1
             rate = lr * (1 - 0.9 * t / len(groups)) * (1 - 0.98**t) ** 0.5 / (1 - 0.9**t)
-            for name, d in g.items():
+            for name, d in self.slopes(x, first, y, live).items():
                 m[name] += 0.1 * (d - m[name])
                 s[name] += 0.02 * (d * d - s[name])
-                p[name] = p[name] - np.float32(rate) * m[name] / (np.sqrt(s[name]) + np.float32(1e-8))
-
-    def score(self, stream: np.ndarray, cut: np.ndarray, most: int = 1024) -> np.ndarray:
+                self.p[name] = self.p[name] - np.float32(rate) * m[name] / (np.sqrt(s[name]) + np.float32(1e-8))
+
+    def slopes(self, x: np.ndarray, first: bool, y: np.ndarray, live: np.ndarray, most: int = 32) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross-entropy of the classes y at the live positions of windows of input rows; `most` windows at once."""
+        p, scale, total = self.p, np.float32(DIM**-0.5), np.float32(max(1, live.sum()))
+        to_kv, to_qr = np.hstack((p["Wk"], p["Wv"])), np.hstack((p["Wq"] * scale, p["Wr"]))
+        kv_of, qr_of = p["E"] @ to_kv, p["E"] @ to_qr
+        late, bias = x[:, _CONTEXT:], _bias(p["D"], first)
+        g = {"Wc": np.zeros_like(p["Wc"]), "bc": np.zeros_like(p["bc"])}
+        g_kv, g_qr = np.zeros_like(to_kv), np.zeros_like(to_qr)
+        d_bias = np.zeros((STRIDE, WINDOW), np.float32)
+        d_e = np.empty((*x.shape, DIM), np.float32)
+        for i in range(0, len(x), most):
+            kv, qr = kv_of.take(x[i : i + most], axis=0), qr_of.take(late[i : i + most], axis=0)
+            k, v, q, r = kv[..., :DIM], kv[..., DIM:], qr[..., :DIM], qr[..., DIM:]
+            a = q @ k.transpose(0, 2, 1)
+            np.clip(a, -30, 30, out=a)
+            a += bias
+            np.exp(a, out=a)
+            a /= (a @ _ONES[:WINDOW])[..., None]
+            h = np.tanh(a @ v + r)
+            flat = h.reshape(-1, DIM)
+            dz = flat @ p["Wc"]
+            dz += p["bc"]
+            np.exp(dz, out=dz)
+            weight = live[i : i + most].ravel() / total
+            dz *= (weight / (dz @ _ONES[:CLASSES]))[:, None]
+            dz[np.arange(len(dz)), y[i : i + most].ravel()] -= weight
+            g["Wc"] += flat.T @ dz
+            g["bc"] += np.ones(len(dz), np.float32) @ dz
+            dh = (dz @ p["Wc"].T).reshape(h.shape)
+            dh *= 1 - h * h
+            ds = dh @ v.transpose(0, 2, 1)
+            ds -= np.einsum("nij,nij->ni", ds, a)[..., None]
+            ds *= a
+            d_bias += ds.sum(axis=0)
+            d_kv = np.concatenate((ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh), axis=2).reshape(-1, 2 * DIM)
+            d_qr = np.concatenate((ds @ k, dh), axis=2).reshape(-1, 2 * DIM)
+            e = p["E"].take(x[i : i + most], axis=0)
+            g_kv += e.reshape(-1, DIM).T @ d_kv
+            g_qr += e[:, _CONTEXT:].reshape(-1, DIM).T @ d_qr
+            d_e[i : i + most] = (d_kv @ to_kv.T).reshape(e.shape)
+            d_e[i : i + most, _CONTEXT:] += (d_qr @ to_qr.T).reshape(h.shape)
+        at, back = np.arange(_CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None]
+        g["D"] = np.bincount(np.clip(at - back, 0, WINDOW - 1).ravel(), (d_bias * (back <= at)).ravel(), WINDOW).astype(np.float32)
+        g["Wk"], g["Wv"], g["Wq"], g["Wr"] = g_kv[:, :DIM], g_kv[:, DIM:], g_qr[:, :DIM] * scale, g_qr[:, DIM:]
+        g["E"] = _by_row(x, d_e, len(p["E"]))
+        return g
+
+    def score(self, stream: np.ndarray, cut: np.ndarray, most: int = 128) -> np.ndarray:
         """log10 probability of each text; every id is scored in one window."""
         rows, klass, given = self.row[stream], self.klass[stream], self.given[stream]
         doc, at = _windows(cut)
         size, p = np.diff(cut), self.p
         total = np.add.reduceat(given.astype(np.float64), cut[:-1]) if len(size) else np.zeros(0)
-        by_row = {k: p["E"] @ p[k] for k in ("Wk", "Wv", "Wr")} | {"Wq": p["E"] @ (p["Wq"] / np.float32(DIM**0.5))}
+        kv_of = p["E"] @ np.hstack((p["Wk"], p["Wv"]))
+        qr_of = p["E"] @ np.hstack((p["Wq"] / np.float32(DIM**0.5), p["Wr"]))
         for first in (True, False):
             own, bias = np.flatnonzero((at == 0) == first), _bias(p["D"], first)
             for i in range(0, len(own), most):
                 w = own[i : i + most]
                 x = _inputs(rows, cut, doc[w], at[w], self.begin)
-                late = x[:, _CONTEXT:]
-                a = by_row["Wq"][late] @ by_row["Wk"][x].transpose(0, 2, 1)
+                kv, qr = kv_of.take(x, axis=0), qr_of.take(x[:, _CONTEXT:], axis=0)
+                a = qr[..., :DIM] @ kv[..., :DIM].transpose(0, 2, 1)
                 np.clip(a, -30, 30, out=a)
                 a += bias
                 np.exp(a, out=a)
-                o = a @ by_row["Wv"][x]
-                o /= a.sum(axis=2, keepdims=True)
-                o += by_row["Wr"][late]
-                z = np.tanh(o).reshape(-1, DIM) @ p["Wc"] + p["bc"]
+                o = a @ kv[..., DIM:]
+                o /= (a @ _ONES[:WINDOW])[..., None]
+                o += qr[..., DIM:]
+                z = np.tanh(o, out=o).reshape(-1, DIM) @ p["Wc"]
+                z += p["bc"]
                 pos = at[w][:, None] + np.arange(STRIDE)
                 live = pos < size[doc[w]][:, None]
                 y = klass[np.minimum(cut[doc[w]][:, None] + pos, len(klass) - 1)]
                 chosen = z[np.arange(len(z)), y.ravel()]
-                lp = (chosen - np.log(np.exp(z, out=z).sum(axis=1))).reshape(live.shape)
+                lp = (chosen - np.log(np.exp(z, out=z) @ _ONES[:CLASSES])).reshape(live.shape)
                 total += np.bincount(doc[w], np.where(live, lp, 0).sum(axis=1, dtype=np.float64), len(size))
         return total / np.log(10)
 
@@ -340,9 +397,8 @@ def count_subwords(words: DataFrame, path: str | None) -> DataFrame:
         subwords = Subwords(path)
         total = np.zeros(subwords.size, np.int64)
         for b in batches:
-            got = [subwords.encode(" " + w.decode("utf-8", "replace")) for w in b.column(0).to_pylist()]
-            ids, n = np.fromiter(chain.from_iterable(got), np.int64), np.repeat(np.asarray(b.column(1)), list(map(len, got)))
-            np.add.at(total, ids, n)
+            size, ids = subwords.encoded(b.column(0).to_pylist())
+            np.add.at(total, ids, np.repeat(np.asarray(b.column(1)), size))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -146,6 +146,54 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     assert seen == {"_counted_neighbours": training, "_averaged": training} and all(math.isfinite(r.score) for r in got)
 
 
+def test_words_encoded_together_have_the_ids_of_each(monkeypatch):
+    rng = random.Random(46)
+    subwords = lm_scoring.Subwords(None)
+    chars = "aeiou's'rnt019.,-_#@!\x00\x1c\x1f\x7f\xa0\u2003éßя中\U0001f600"
+    words = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 9))).encode() for _ in range(3000)] + [b"z" * 5000, b"\xff\xfe", b"'s", b"n't"]
+    for some in (words, [w for w in words if w.isascii()], [w for w in words if not w.isascii()], words[:1], []):
+        size, ids = subwords.encoded(some)
+        got = np.split(ids, np.cumsum(size)[:-1]) if some else []
+        assert [x.tolist() for x in got] == [subwords.encode(" " + w.decode("utf-8", "replace")) for w in some]
+    # Where the lengths don't meet the words' ends, each is encoded by itself.
+    subwords.bytes[:] = 7
+    size, ids = subwords.encoded(words[:50])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [subwords.encode(" " + w.decode("utf-8", "replace")) for w in words[:50]]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_lm_slopes_against_differences(first):
+    rng = np.random.default_rng(45)
+    model = lm_scoring.Model(np.arange(30, dtype=np.int32) % 20, np.arange(30, dtype=np.int32) % lm_scoring.CLASSES)
+    model.p = {k: rng.normal(0, 0.5, w.shape) for k, w in model.p.items()}
+    x, y, live = rng.integers(0, 21, (5, lm_scoring.WINDOW)), rng.integers(0, lm_scoring.CLASSES, (5, lm_scoring.STRIDE)), rng.random((5, lm_scoring.STRIDE)) < 0.8
+
+    def loss():
+        p, total = model.p, 0.0
+        for w in range(5):
+            e = p["E"][x[w]]
+            for i in range(lm_scoring.STRIDE):
+                at = i + lm_scoring.WINDOW - lm_scoring.STRIDE
+                seen = [j for j in range(at + 1) if not first or j >= lm_scoring.WINDOW - lm_scoring.STRIDE]
+                a = np.array([e[at] @ p["Wq"] / 4 @ (e[j] @ p["Wk"]) + p["D"][at - j] for j in seen])
+                a = np.exp(a) / np.exp(a).sum()
+                z = np.tanh(a @ (e[seen] @ p["Wv"]) + e[at] @ p["Wr"]) @ p["Wc"] + p["bc"]
+                total += live[w, i] * (np.log(np.exp(z).sum()) - z[y[w, i]])
+        return total / live.sum()
+
+    got = model.slopes(x, first, y, live, most=2)
+    for name, w in model.p.items():
+        for _ in range(3):
+            k = tuple(rng.integers(0, n) for n in w.shape)
+            was = w[k]
+            w[k] = was + 1e-4
+            more = loss()
+            w[k] = was - 1e-4
+            less = loss()
+            w[k] = was
+            assert got[name][k] == pytest.approx((more - less) / 2e-4, rel=1e-3, abs=2e-6), name
+
+
 NAMES = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -462,6 +463,43 @@ def test_line_dedup_computes_what_bounds_by_words_leave(spark):
     assert {(r.a, r.b) for r in line_dedup._verified(near, texts).collect()} == {(i, i + 1) for i in range(0, 18, 2)}
 
 
+def test_line_dedup_leaves_no_shuffle_files_between_its_steps(spark, monkeypatch):
+    """After each table of line dedup its shuffle files are gone, and the table of all blocks before documents are moved."""
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(found.size()) if (f := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, left, files, alive = shuffled(), {}, [], []
+    written = line_dedup.materialize
+
+    def watched(df, label):
+        if label == "lines-texts":
+            alive.append(any(os.path.exists(f) for f in files))
+        out = written(df, label)
+        left[label] = shuffled() - before
+        if label == "lines":
+            files.extend("/" + f.removeprefix("file:").lstrip("/") for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", watched)
+    lines, _ = crowded_block(30, seed=41)
+    line_dedup.duplicates(docs_of(spark, lines))
+    assert {"lines", "lines-distinct", "lines-shared", "lines-texts", "lines-rest"} <= set(left)
+    assert not any(left.values())
+    assert files and alive and not any(alive)
+
+
+def test_line_dedup_takes_off_only_what_leaves_the_distance(spark):
+    """Links of lines that begin or end alike, repeat words or are each other's beginning, against plain distances."""
+    rng = random.Random(42)
+    texts = [" ".join(rng.choice(("a", "a", "ab", "abc", "bcd")) for _ in range(rng.randint(5, 9))) for _ in range(60)]
+    texts += ["a b c d e f g h", "a b c d e f g h h", "a b c d e f g", "b c d e f g h", "a b c d x e f g h"]
+    rows = [(i, j, a, b) for (i, a), (j, b) in itertools.combinations(enumerate(dict.fromkeys(texts)), 2)]
+    got = {(r.i, r.j) for r in spark.createDataFrame(rows, "i long, j long, t_a string, t_b string").filter(line_dedup._linked("t_a", "t_b")).collect()}
+    words = lambda a, b: len({*a.split()} & {*b.split()}) >= 0.6 * max(len({*a.split()}), len({*b.split()}))
+    assert got == {(i, j) for i, j, a, b in rows if words(a, b) and plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9} and len(got) > 10
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}

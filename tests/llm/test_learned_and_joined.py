@@ -500,6 +500,42 @@ def test_line_dedup_takes_off_only_what_leaves_the_distance(spark):
     assert got == {(i, j) for i, j, a, b in rows if words(a, b) and plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9} and len(got) > 10
 
 
+def test_line_dedup_compares_no_pair_that_letters_or_groups_settle(spark, monkeypatch):
+    """Lines with one passage after beginnings of one of two sets of letters: the same groups as by plain distances, from fewer pairs."""
+    rng = random.Random(43)
+    passage = " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(10))
+    begin = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(10)) for _ in range(3))
+    lines = [f"{begin('abcde' if i % 2 else 'vwxyz')} {passage}" for i in range(60)]
+    at = list(range(len(lines)))
+
+    def top(at, i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, j in itertools.combinations(at, 2):
+        if plain_distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])):
+            at[max(top(at, i), top(at, j))] = min(top(at, i), top(at, j))
+    calls = []
+    verified = line_dedup._verified
+
+    def watched(near, texts):
+        out = verified(near, texts)
+        calls.append(([(r.a, r.b) for r in near.collect()], [(r.a, r.b) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_verified", watched)
+    got = {r.doc_id: r.dropped for r in line_dedup.duplicates(docs_of(spark, lines)).collect()}
+    assert got == {i: [0] for i in range(len(lines)) if top(at, i) != i} and 10 < len(got) < 58
+    known = {h: h for pairs, _ in calls for p in pairs for h in p}
+    for i, (pairs, links) in enumerate(calls):
+        assert i == 0 or all(top(known, a) != top(known, b) for a, b in pairs)
+        for a, b in links:
+            known[max(top(known, a), top(known, b))] = min(top(known, a), top(known, b))
+    # Pairs of one set of letters are 870 of 1770.
+    assert len(calls) > 2 and sum(len(pairs) for pairs, _ in calls[1:]) <= 870
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\nHome\n\n \nhome page", "ALL  rights reserved.\n\n \nhome  Home\nHome", "all rights reserved", None]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}

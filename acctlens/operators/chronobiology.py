@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,31 +54,53 @@ def _harmonics(e, ks, period, shift, p):
     return out.select("account_id", *[f"{p}{k}_{x}" for k in ks for x in ("cos", "sin", "len")])
 
 
+#: How half-hour j of the day adds to half-hour i: a circular Gaussian kernel.
+KERNEL = np.array([[math.exp(-0.5 * min(abs(i - j), 48 - abs(i - j)) ** 2) for j in range(48)] for i in range(48)])
+
+
 def smoothed(e: DataFrame) -> DataFrame:
-    """(account_id, bins): 48 half-hour shares, smoothed by a circular Gaussian kernel and normalised."""
+    """(account_id, bins): 48 half-hour shares, smoothed by a circular Gaussian kernel and normalised.
+
+    Batches of accounts pass through Arrow: as nested lambdas, the optimizer puts the whole of an expression in the
+    place of each of its uses, within loops.
+    """
     b = F.floor(F.pmod("t", F.lit(86400.0)) / 1800).cast("int")
-    counts = e.groupBy("account_id").agg(F.array(*[F.count(F.when(b == i, 1)).cast("double") for i in range(48)]).alias("c"))
-    kernel = [math.exp(-0.5 * min(d, 48 - d) ** 2) for d in range(48)]
-    weights = F.array(*[F.lit(x) for x in kernel])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.aggregate(F.transform("c", lambda x, j: x * F.get(weights, F.pmod(j - i, F.lit(48)))), F.lit(0.0), lambda a, x: a + x))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    out = counts.select("account_id", raw.alias("raw")).withColumn("total", total(F.col("raw")))
-    return out.select("account_id", F.transform("raw", lambda x: x / F.col("total")).alias("bins"))
+    counts = e.select("account_id", b.alias("b")).groupBy("account_id").agg(F.array(*[F.count(F.when(F.col("b") == i, 1)) for i in range(48)]).alias("c"))
+
+    def run(batches):
+        for x in batches:
+            c = x.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 48)
+            raw = c.astype(float) @ KERNEL
+            yield _batch(x.column(0), bins=raw / raw.sum(axis=1, keepdims=True))
+
+    return counts.mapInArrow(run, counts.select("account_id", F.array(F.lit(0.0)).alias("bins")).schema)
+
+
+def _batch(account, bins=None, **columns) -> pa.RecordBatch:
+    """Arrow batch of the account, its bins where given, and columns of doubles."""
+    own = {} if bins is None else {"bins": pa.ListArray.from_arrays(np.arange(0, bins.size + 1, 48, dtype=np.int32), pa.array(bins.ravel()))}
+    own |= {k: pa.array(v) for k, v in columns.items()}
+    return pa.RecordBatch.from_arrays([account, *own.values()], names=["account_id", *own])
 
 
 def rhythm(smooth: DataFrame) -> DataFrame:
     """Entropy, circular variance and the quietest quarter of the day, from the smoothed bins."""
-    summed = lambda f: F.aggregate(F.transform("bins", f), F.lit(0.0), lambda a, x: a + x)
-    angle = lambda i: F.lit(TAU) * (i + 0.5) / 48
-    out = smooth.select(
-        "account_id", (-summed(lambda x, i: F.when(x > 0, x * F.ln(x)).otherwise(0.0))).alias("entropy"),
-        summed(lambda x, i: x * F.cos(angle(i))).alias("re"), summed(lambda x, i: x * F.sin(angle(i))).alias("im"),
-        F.transform(F.sequence(F.lit(0), F.lit(47)), lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0.0), lambda a, o: a + F.get("bins", F.pmod(s + o, F.lit(48))))).alias("mass"),
-    )
-    low = F.array_min(F.transform("mass", lambda m, s: F.struct(F.round(m, 12).alias("m"), s.alias("s"), m.alias("exact"))))
-    out = out.withColumn("low", low).withColumn("a", F.lit(TAU) * F.pmod(F.col("low.s") + 6, F.lit(48)) / 48)
-    variance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.hypot("re", "im")))
-    return out.select("account_id", "entropy", variance.alias("circular_variance"), F.cos("a").alias("trough_cos"), F.sin("a").alias("trough_sin"), F.col("low.exact").alias("trough_mass"))
+    names = ("entropy", "circular_variance", "trough_cos", "trough_sin", "trough_mass")
+    angle = TAU * (np.arange(48) + 0.5) / 48
+    quarter = (np.arange(48)[:, None] + np.arange(12)) % 48
+
+    def run(batches):
+        for x in batches:
+            v = x.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 48)
+            entropy = -(v * np.log(v, where=v > 0, out=np.zeros_like(v))).sum(axis=1)
+            variance = np.clip(1 - np.hypot(v @ np.cos(angle), v @ np.sin(angle)), 0.0, 1.0)
+            mass = v[:, quarter].sum(axis=2)
+            s = np.round(mass, 12).argmin(axis=1)  # the first of equal ones
+            a = TAU * ((s + 6) % 48) / 48
+            yield _batch(x.column(0), **dict(zip(names, (entropy, variance, np.cos(a), np.sin(a), mass[np.arange(len(s)), s]))))
+
+    rows = smooth.select("account_id", "bins")
+    return rows.mapInArrow(run, rows.select("account_id", *[F.lit(0.0).alias(c) for c in names]).schema)
 
 
 def weekend(e: DataFrame) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fitted(rows: DataFrame) -> DataFrame:
+    """(idx, mean, std) over accounts, population form. The std of equal values is 0 as it is by its definition: merging
+    partial moments can leave a rounding error instead, which would then be divided by."""
+    std = F.when(F.min("value") == F.max("value"), 0.0).otherwise(F.stddev_pop("value"))
+    return rows.groupBy("idx").agg(F.avg("value").alias("mean"), std.alias("std"))
+
+
 def standardize(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """value as (value - mean) / std; 0 where std is 0. stats has a row for each idx, so it is broadcast."""
     z = F.when(F.col("std") == 0, 0.0).otherwise(F.try_divide(F.col("value") - F.col("mean"), F.col("std")))

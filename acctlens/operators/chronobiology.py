@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import block_unit, fitted
+
 TAU = 2 * math.pi
 #: First index and size of the three blocks.
 BLOCKS = ((0, 79), (79, 29), (108, 14))
@@ -241,7 +243,7 @@ def features(e: DataFrame) -> DataFrame:
 
 def fit(feature_rows: DataFrame) -> DataFrame:
     """(idx, mean, std) over accounts, population form."""
-    return feature_rows.groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return fitted(feature_rows)
 
 
 def block_of(idx, blocks=BLOCKS):
@@ -253,6 +255,4 @@ def block_of(idx, blocks=BLOCKS):
 
 def vectors(feature_rows: DataFrame, stats: DataFrame, weights=(0.45, 0.30, 0.25)) -> DataFrame:
     """(account_id, idx, w): standardised, normalised by block, weighted, normalised as a whole."""
-    from ..functions.vectors import block_unit
-
     return block_unit(feature_rows, stats, block_of(F.col("idx")), weights)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import sha256_of
 from ..functions.text import PUNCTUATION, alphabetic_tokens, hashed_grams
-from ..functions.vectors import standardize, unit
+from ..functions.vectors import fitted, standardize, unit
 from ..schemas import ContractError
 
 #: Dimensions of the structural block, and where the blocks begin in the joined vector.
@@ -114,7 +114,7 @@ def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: i
     n = own(messages).count()
     first = tfidf(counts, idf(own(counts), n, "bucket"), n, "bucket").select("account_id", F.col("idx").cast("long").alias("idx"), (F.col("w") * weights[0]).alias("w"))
     rows = structural(messages)
-    stats = own(rows).groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = fitted(own(rows))
     second = unit(standardize(rows, stats).select("account_id", "idx", F.col("z").alias("w"))).select("account_id", (F.col("idx") + space).cast("long").alias("idx"), (F.col("w") * weights[1]).alias("w"))
     freq = function_words(messages, words)
     place = F.create_map(*[F.lit(x) for i, w in enumerate(listed_words(words)[0]) for x in (w, i)])[F.col("word")]

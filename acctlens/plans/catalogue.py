@@ -339,8 +339,8 @@ _EXACT = _every.replace("round(", "(").replace(" + 1e-9, 7)", ")")
 
 @query(f"WITH v AS ({_EXACT}) SELECT idx, round(avg(value) + 1e-9, 6) AS mean, round(stddev_pop(value) + 1e-9, 6) AS std FROM v GROUP BY ALL")
 def struct_stats_fit(spark, d):
-    s = Y.structural(A.documents(spark, d))
-    return s.groupBy("idx").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"))
+    s = V.fitted(Y.structural(A.documents(spark, d)))
+    return s.select("idx", r("mean").alias("mean"), r("std").alias("std"))
 
 
 @query(
@@ -348,8 +348,7 @@ def struct_stats_fit(spark, d):
 )
 def standardize_block_l2(spark, d):
     s = Y.structural(A.documents(spark, d))
-    stats = s.groupBy("idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    z = V.standardize(s, stats).select("account_id", "idx", F.col("z").alias("w"))
+    z = V.standardize(s, V.fitted(s)).select("account_id", "idx", F.col("z").alias("w"))
     return V.unit(z).select("account_id", "idx", r("w", 4).alias("w"))
 
 

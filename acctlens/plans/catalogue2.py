@@ -248,7 +248,8 @@ _CAL = f"{FEATURES}, {_VECTOR}, {_PAIRS}, q AS (SELECT a, b, round(cosine + 1e-9
 
 
 def _calibrated(spark, d):
-    q = _cosines(spark, d).select("a", "b", r("cosine", 5).alias("cosine"))
+    # Kept: the query reads the cosines three times, and sums computed anew may end on the other side of a rounding.
+    q = kept(_cosines(spark, d).select("a", "b", r("cosine", 5).alias("cosine")), "cosines")
     base = q.filter("(CAST(a AS BIGINT) + CAST(b AS BIGINT)) % 2 = 0")
     return C.percentile(base, q)
 

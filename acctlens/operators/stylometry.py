@@ -5,40 +5,49 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from ..functions.canonical import sha256_of
-from ..functions.text import PUNCTUATION, alphabetic_tokens, hashed_grams
+from ..functions.text import PUNCTUATION, bucket, gram_key
 from ..functions.vectors import fitted, standardize, unit
 from ..schemas import ContractError
+from ..session import kept
 
 #: Dimensions of the structural block, and where the blocks begin in the joined vector.
 STRUCTURAL = 38
 
 
-def _count(pattern: str):
-    return F.regexp_count("text", F.lit(pattern))
+def account_marks(messages: DataFrame) -> DataFrame:
+    """What the structural features sum up: rows of (account_id, counts of some of its messages), each message counted once."""
+    ranges = codes.kinds(messages.sparkSession)
+    columns = ["double_space", *[f"p{i}" for i in range(len(PUNCTUATION))], "repeated", "upper", "alpha", "elongated", "emoji", "len", "n"]
 
+    def run(batches):
+        kind = codes.kind_table(ranges)
+        for b in batches:
+            accounts: dict = {}
+            owner = codes.numbered(b.column(0).to_pylist(), accounts)
+            out = {c: np.zeros(len(accounts), np.int64) for c in columns}
+            for part, own in codes.with_rows(b, 1, owner):
+                for c, n in codes.mark_counts(part.column(1), own, len(accounts), PUNCTUATION, kind).items():
+                    out[c] += n
+            out["n"] = np.bincount(owner, minlength=len(accounts))
+            # An account whose texts are all null has no length.
+            none = np.bincount(owner[b.column(1).is_valid().to_numpy(zero_copy_only=False)], minlength=len(accounts)) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(list(accounts), pa.string()), *[pa.array(out[c], mask=none if c == "len" else None) for c in columns]], names=["account_id", *columns])
 
-def message_counts(messages: DataFrame) -> DataFrame:
-    """Per message, what the structural features sum up; all counted in the JVM."""
-    escape = lambda c: "\\" + c if c in "\\^$.|?*+()[]{}-/&~#'\"!%,:;<=>@_`" and not c.isalnum() else c
-    marks = [(F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).alias(f"p{i}") for i, c in enumerate(PUNCTUATION)]
-    cls = "".join(escape(c) for c in PUNCTUATION if c not in "_`'\"!%,:;<=>@#") + "_`'\"!%,:;<=>@#"
-    return messages.select(
-        "account_id", "message_id", F.length("text").alias("len"), _count(" (?= )").alias("double_space"), *marks,
-        _count(f"\\.{{3,}}|\u2026|([{cls}])\\1+").alias("repeated"), _count(r"\p{Lu}").alias("upper"), _count(r"\p{L}").alias("alpha"),
-        _count(r"(\p{L})\1{2,}").alias("elongated"), _count(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]").alias("emoji"),
-    )
+    return messages.select("account_id", "text").mapInArrow(run, "account_id string, " + ", ".join(f"{c} long" for c in columns))
 
 
 def structural(messages: DataFrame) -> DataFrame:
     """(account_id, idx, value) of the 38 structural features."""
-    m = message_counts(messages)
+    m = account_marks(messages)
     names = ["double_space", *[f"p{i}" for i in range(len(PUNCTUATION))], "repeated"]
-    g = m.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in [*names, "upper", "alpha", "elongated", "emoji", "len"]], F.count("*").alias("n"))
+    g = m.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in [*names, "upper", "alpha", "elongated", "emoji", "len", "n"]])
     rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("len")), F.lit(0.0))
     values = [rate(c) for c in names] + [F.coalesce(F.try_divide(F.col("upper"), F.col("alpha")), F.lit(0.0)), rate("elongated"), rate("emoji"), F.col("len") / F.col("n")]
     pairs = F.array(*[F.struct(F.lit(i).alias("idx"), v.cast("double").alias("value")) for i, v in enumerate(values)])
@@ -58,8 +67,20 @@ def listed_words(words) -> tuple[list[str], str]:
 def function_words(messages: DataFrame, words) -> DataFrame:
     """(account_id, word, freq) for every word of the list, zeros included; freq is of all alphabetic tokens, casefolded."""
     listed, _ = listed_words(words)
-    tokens = messages.select("account_id", F.explode(alphabetic_tokens(F.col("text"))).alias("token"))
-    g = tokens.groupBy("account_id").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("token") == w, 1)).alias(f"w{i}") for i, w in enumerate(listed)])
+    ranges, names = codes.kinds(messages.sparkSession), ["n", *[f"w{i}" for i in range(len(listed))]]
+
+    def run(batches):
+        counter = codes.word_counter(tuple(listed), ranges)
+        for b in batches:
+            accounts: dict = {}
+            owner = codes.numbered(b.column(0).to_pylist(), accounts)
+            out = np.zeros((len(accounts), len(names)), np.int64)
+            for part, own in codes.with_rows(b, 1, owner):
+                out += counter.count(part.column(1), own, len(accounts))
+            yield pa.RecordBatch.from_arrays([pa.array(list(accounts), pa.string()), *map(pa.array, out.T.copy())], names=["account_id", *names])
+
+    rows = messages.select("account_id", "text").mapInArrow(run, "account_id string, " + ", ".join(f"{c} long" for c in names))
+    g = rows.groupBy("account_id").agg(*[F.sum(c).alias(c) for c in names]).filter("n > 0")
     pairs = F.array(*[F.struct(F.lit(w).alias("word"), (F.col(f"w{i}") / F.col("n")).alias("freq")) for i, w in enumerate(listed)])
     return g.select("account_id", F.explode(pairs).alias("p")).select("account_id", "p.word", "p.freq")
 
@@ -90,6 +111,46 @@ def account_grams(grams: DataFrame, dim: str = "gram") -> DataFrame:
     return grams.groupBy("account_id", dim).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
+def account_plain_grams(messages: DataFrame, size: int = 2) -> DataFrame:
+    """`account_grams` of `plain_grams`, added up before rows leave a task, and kept: idf and tf read different columns of them."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+
+        def emit(accounts, account, gram, n, df):
+            names = pa.array(list(known), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(accounts, pa.string()).take(pa.array(account)), names.take(pa.array(gram)), pa.array(n), pa.array(df)], names=["account_id", "gram", "n", "df"])
+
+        yield from codes.account_gram_counts(batches, (size,), lambda g: known.setdefault(g, len(known)), emit, known.clear)
+
+    rows = messages.select("account_id", "text").mapInArrow(run, "account_id string, gram string, n long, df long")
+    return kept(rows.groupBy("account_id", "gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "grams")
+
+
+def account_hashed_grams(messages: DataFrame, sizes=(2, 3, 4), space: int = 262_144, seed: int = 1729, memo: int = 200_000) -> DataFrame:
+    """`account_grams` of `hashed_grams`, added up before rows leave a task, and kept: idf and tf read different columns of them. Grams are told to buckets by a bounded memo in each task."""
+    key = gram_key(seed)
+
+    def run(batches):
+        known: dict[str, int] = {}
+
+        def number_of(gram: str) -> int:
+            k = known.get(gram)
+            if k is None:
+                k = bucket(gram, key, space)
+                if len(known) < memo:
+                    known[gram] = k
+            return k
+
+        def emit(accounts, account, at, n, df):
+            return pa.RecordBatch.from_arrays([pa.array(accounts, pa.string()).take(pa.array(account)), pa.array(at.astype(np.int32)), pa.array(n), pa.array(df)], names=["account_id", "bucket", "n", "df"])
+
+        yield from codes.account_gram_counts(batches, sizes, number_of, emit, space=space)
+
+    rows = messages.select("account_id", "text").mapInArrow(run, "account_id string, bucket int, n long, df long")
+    return kept(rows.groupBy("account_id", "bucket").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "grams")
+
+
 def idf(counts: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
     """(dim, df, idf) with messages as documents, from `account_grams`."""
     g = counts.groupBy(dim).agg(F.sum("df").alias("df"))
@@ -110,7 +171,7 @@ def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: i
     The structural statistics and the idf are fitted on the messages of the accounts `fitted_on` (account_id), or on all.
     """
     own = (lambda df: df) if fitted_on is None else (lambda df: df.join(fitted_on.select("account_id").distinct(), "account_id", "left_semi"))
-    counts = account_grams(hashed_grams(messages, space=space, seed=seed), "bucket")
+    counts = account_hashed_grams(messages, space=space, seed=seed)
     n = own(messages).count()
     first = tfidf(counts, idf(own(counts), n, "bucket"), n, "bucket").select("account_id", F.col("idx").cast("long").alias("idx"), (F.col("w") * weights[0]).alias("w"))
     rows = structural(messages)

@@ -357,12 +357,8 @@ _IDF = "nd AS (SELECT count(*) AS nd FROM documents), i AS (SELECT gram, count(*
 _TFIDF = "tf AS (SELECT account_id, gram, sum(n) AS n FROM g GROUP BY ALL), x AS (SELECT account_id, gram, n / sum(n) OVER (PARTITION BY account_id) * idf AS w FROM tf JOIN i USING (gram)), u AS (SELECT account_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY account_id)) AS w FROM x)"
 
 
-def _grams(spark, d):
-    return Y.plain_grams(A.documents(spark, d), 2)
-
-
 def _counts(spark, d):
-    return Y.account_grams(_grams(spark, d))
+    return Y.account_plain_grams(A.documents(spark, d), 2)
 
 
 def _tfidf(spark, d):
@@ -409,7 +405,7 @@ def ngram_cosine(spark, d):
 @query()
 def hashed_ngram_vector(spark, d):
     m = A.documents(spark, d)
-    g, n = Y.account_grams(X.hashed_grams(m), "bucket"), m.count()
+    g, n = Y.account_hashed_grams(m), m.count()
     return Y.tfidf(g, Y.idf(g, n, "bucket"), n, "bucket").select("account_id", F.col("idx").alias("bucket"), r("w").alias("w"))
 
 

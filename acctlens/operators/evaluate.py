@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,30 +85,65 @@ def _rate(rows, threshold, which):
     return tp / (tp + other) if tp + other else 0.0
 
 
+def draws(seed: int, size: int, n: int, chunk: int = 1 << 20):
+    """n resamples of range(size), each as an array: what random.Random(seed).choice gives, drawn in chunks."""
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint64), "pos": state[-1]}}
+    shift = np.uint64(32 - size.bit_length())
+    held, count = [], 0
+    for _ in range(n):
+        while count < size:
+            r = words.random_raw(min(chunk, 2 * (size - count) + 16)) >> shift
+            held.append(r[r < size].astype(np.int64))
+            count += len(held[-1])
+        drawn = np.concatenate(held)
+        yield drawn[:size]
+        held, count = [drawn[size:]], count - size
+
+
+def _auc_of(neg: np.ndarray, pos: np.ndarray) -> float | None:
+    """`_auc` of counts at each score, in rising order; sums of ranks are whole numbers, so it is the same to the last bit."""
+    p, n = int(pos.sum()), int(neg.sum())
+    if not p or not n:
+        return None
+    end = np.cumsum(neg + pos)
+    ranks = int(((2 * end - (neg + pos) + 1) * pos).sum()) / 2
+    return (ranks - p * (p + 1) / 2) / (p * n)
+
+
 def bootstrap(rows: DataFrame, threshold: float, n: int = 1000, level: float = 0.95, seed: int = 1729) -> DataFrame:
     """(metric, low, high): percentile intervals. The rows are one evaluation's pairs (50,000 at most by contract), so each metric
     is one group of a grouped map; resamples follow Python's generator, over the pairs in the order of their accounts
-    where these are given (columns a and b), else of their scores, so that results can be repeated elsewhere."""
+    where these are given (columns a and b), else of their scores, so that results can be repeated elsewhere.
+    A resample is counted at each distinct score and class, from which the metrics follow exactly."""
     keys = ["a", "b"] if {"a", "b"} <= set(rows.columns) else ["score", "is_same"]
-    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(i).alias("offset")) for i, m in enumerate(("roc_auc", "precision", "recall"))]))
-    spread = rows.select("score", "is_same", F.struct(*keys).alias("k"), metrics.alias("m")).select("score", "is_same", *[F.col(f"k.{c}").alias(f"k{i}") for i, c in enumerate(keys)], "m.*")
+    names = ("roc_auc", "precision", "recall")
+    metrics = F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("metric")
+    spread = rows.select("score", "is_same", F.struct(*keys).alias("k"), metrics).select("score", "is_same", *[F.col(f"k.{c}").alias(f"k{i}") for i, c in enumerate(keys)], "metric")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        metric, rng = group.metric.iloc[0], random.Random(seed + int(group.offset.iloc[0]))
+        at = int(group.metric.iloc[0])
         group = group.sort_values(["k0", "k1"], kind="stable")
-        own = list(zip(group.score.tolist(), group.is_same.tolist()))
+        scores, cell = np.unique(group.score.to_numpy(float), return_inverse=True)
+        cell = (2 * cell + group.is_same.to_numpy(bool)).astype(np.int32)
+        hit = scores >= threshold
         values = []
-        for _ in range(n):
-            sample = [rng.choice(own) for _ in own]
-            v = _auc(sample) if metric == "roc_auc" else _rate(sample, threshold, metric)
+        for drawn in draws(seed + at, len(cell), n):
+            count = np.bincount(cell[drawn], minlength=2 * len(scores))
+            neg, pos = count[::2], count[1::2]
+            tp = int(pos[hit].sum())
+            if names[at] == "roc_auc":
+                v = _auc_of(neg, pos)
+            else:
+                of = tp + int(neg[hit].sum() if names[at] == "precision" else pos[~hit].sum())
+                v = tp / of if of else 0.0
             if v is not None:
                 values.append(v)
         values.sort()
-        if not values:
-            return pd.DataFrame([(metric, 0.0, 0.0)], columns=["metric", "low", "high"])
         a = (1 - level) / 2
-        at = lambda k: values[min(len(values) - 1, max(0, k))]
-        return pd.DataFrame([(metric, at(int(a * len(values))), at(int((1 - a) * len(values)) - 1))], columns=["metric", "low", "high"])
+        bound = lambda k: values[min(len(values) - 1, max(0, k))] if values else 0.0
+        return pd.DataFrame([(names[at], bound(int(a * len(values))), bound(int((1 - a) * len(values)) - 1))], columns=["metric", "low", "high"])
 
     return spread.groupBy("metric").applyInPandas(one, "metric string, low double, high double")
 

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 #: Bits of a code point's kind.
 LETTER, UPPER = 1, 2
 #: Bytes of text that are handled at once, and rows that a task holds before it passes them on.
-PART, HELD = 1 << 20, 1 << 20
+PART, HELD = 1 << 19, 1 << 20
 #: Cells of the tables that number grams.
 CELLS = 1 << 23
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codes import parts
+
 #: The replacement tokens, in the order of the masking chain.
 USER, URL, NUM, TERM = "[USER]", "[URL]", "[NUM]", "[GAME_TERM]"
 #: ASCII punctuation counted by the structural features, in feature order.
@@ -71,13 +73,13 @@ def masker(usernames=(), game_terms=()):
 
 
 def mask_exact(df: DataFrame, column: str = "text", out: str = "masked", usernames=(), game_terms=()) -> DataFrame:
-    """df with the masked text; batches pass through Arrow."""
+    """df with the masked text; batches pass through Arrow, a part of about a megabyte of text at a time."""
     mask = masker(usernames, game_terms)
     at = df.columns.index(column)
     schema = df.withColumn(out, F.lit("")).schema
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch, at)):
             done = [None if t is None else mask(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string())], names=[*b.schema.names, out])
 
@@ -154,7 +156,7 @@ def hashed_grams(messages: DataFrame, sizes=(2, 3, 4), space: int = 262_144, see
 
     def run(batches):
         known: dict[str, int] = {}
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch, 2)):
             rows: list[tuple] = []
             for account, message, text in zip(*(c.to_pylist() for c in b.columns)):
                 grams = Counter(text[i : i + n] for n in sizes for i in range(len(text) - n + 1)) if text else Counter()

@@ -89,7 +89,7 @@ def plain_grams(messages: DataFrame, size: int = 2) -> DataFrame:
     """(account_id, message_id, gram, n): unhashed character n-grams, counted once for each message in Arrow batches."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in codes.parts(batch, 2)):
             rows: list[tuple] = []
             for account, message, text in zip(*(c.to_pylist() for c in b.columns)):
                 rows += [(account, message, g, n) for g, n in Counter(map("".join, zip(*(text[k:] for k in range(size))))).items()] if text else []

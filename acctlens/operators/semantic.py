@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import parts
 from ..schemas import ContractError, ErrorCode
 
 
@@ -94,7 +95,8 @@ def windows(text: str, vocab: dict[str, int], max_tokens: int = 256) -> list[tup
 def window_rows(texts: DataFrame, vocab: dict[str, int], max_tokens: int = 256) -> DataFrame:
     """(id, window, text, ids, key) of each text (id, text); key identifies text and ids without holding them."""
     def run(batches):
-        for b in batches:
+        # Ids take many times the room of their text, so little text is handled at once.
+        for b in (part for batch in batches for part in parts(batch, 1, 1 << 17)):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, (s, ids) in enumerate(windows(t or "", vocab, max_tokens)):
@@ -114,8 +116,8 @@ def embed(window_table: DataFrame, model: EmbeddingModel, cache: DataFrame | Non
     missing = wanted if cache is None else wanted.join(cache.select("key"), "key", "left_anti")
 
     def run(batches):
-        for b in batches:
-            vectors = model.embed(b.column(1).to_pylist()) if b.num_rows else []
+        for b in (part for batch in batches for part in parts(batch, 1, 1 << 17)):
+            vectors = model.embed(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["key", "embedding"])
 
     new = missing.mapInArrow(run, "key string, embedding array<float>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +36,59 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.select("account_id", "idx", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("w"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(account_id, idx, w) with a row for each account: its dimensions that aren't 0, in rising order, as arrays."""
+    rows = rows.filter("w <> 0").select("account_id", F.struct(F.col("idx").cast("long").alias("i"), "w").alias("d"))
+    g = rows.groupBy("account_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    return g.select("account_id", F.col("d.i").alias("idx"), F.col("d.w").alias("w"))
+
+
 def pair_cosine(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, cosine) of unit vectors for the given pairs; dimensions that either lacks count as 0.
 
-    Vectors are joined to pairs, not to each other, so the work follows the pairs and never all accounts squared.
+    Vectors are joined to pairs, not to each other, so the work follows the pairs and never all accounts squared. A
+    vector is shuffled as one row, and a pair's product is one sum over both rows.
     """
-    left = pairs.join(rows.select(F.col("account_id").alias("a"), "idx", F.col("w").alias("wa")), "a")
-    both = left.join(rows.select(F.col("account_id").alias("b"), "idx", F.col("w").alias("wb")), ["b", "idx"])
-    dots = both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    clamp = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce("dot", F.lit(0.0))))
-    return pairs.join(dots, ["a", "b"], "left").select("a", "b", clamp.alias("cosine"))
+    own = packed(rows)
+    side = lambda s: own.select(F.col("account_id").alias(s), F.col("idx").alias(f"i{s}"), F.col("w").alias(f"w{s}"))
+    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "ia", "wa", "ib", "wb")
+    schema = pairs.select("a", "b", F.lit(0.0).alias("cosine")).schema
+
+    def run(batches):
+        for x in batches:
+            for part in parts(x, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.clip(dots(part), -1.0, 1.0))], names=["a", "b", "cosine"])
+
+    return both.mapInArrow(run, schema)
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 19):
+    """Slices of the batch whose lists come to about `most` values each; a longer list is a slice by itself."""
+    end = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def dots(batch: pa.RecordBatch) -> np.ndarray:
+    """Products of two sparse vectors in each row (columns 2 to 5: dimensions in rising order and values, twice)."""
+
+    def flat(i):
+        sizes = pc.fill_null(pc.list_value_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+        idx, w = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (i, i + 1))
+        return np.repeat(np.arange(batch.num_rows, dtype=np.int64), sizes), idx, w
+
+    (row, ia, wa), (other, ib, wb) = flat(2), flat(4)
+    if not len(ia) or not len(ib):
+        return np.zeros(batch.num_rows)
+    # A row and a dimension in one number; both sides are in its order.
+    span = max(ia.max(), ib.max()) + 1
+    left, right = row * span + ia, other * span + ib
+    at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+    hit = np.flatnonzero(left[at] == right)
+    return np.bincount(other[hit], wa[at[hit]] * wb[hit], batch.num_rows)
 
 
 def dense_cosine(a, b):

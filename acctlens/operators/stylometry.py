@@ -127,8 +127,12 @@ def account_plain_grams(messages: DataFrame, size: int = 2) -> DataFrame:
     return kept(rows.groupBy("account_id", "gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "grams")
 
 
-def account_hashed_grams(messages: DataFrame, sizes=(2, 3, 4), space: int = 262_144, seed: int = 1729, memo: int = 200_000) -> DataFrame:
-    """`account_grams` of `hashed_grams`, added up before rows leave a task, and kept: idf and tf read different columns of them. Grams are told to buckets by a bounded memo in each task."""
+def account_hashed_grams(messages: DataFrame, sizes=(2, 3, 4), space: int = 262_144, seed: int = 1729, memo: int = 200_000, gathered: bool = False) -> DataFrame:
+    """`account_grams` of `hashed_grams`, added up before rows leave a task, and kept: idf and tf read different columns of them. Grams are told to buckets by a bounded memo in each task.
+
+    gathered: an account's messages are brought together first. With many accounts of short messages that shuffles
+    less, as counts of accounts that lie apart can't be added up within a task.
+    """
     key = gram_key(seed)
 
     def run(batches):
@@ -147,7 +151,10 @@ def account_hashed_grams(messages: DataFrame, sizes=(2, 3, 4), space: int = 262_
 
         yield from codes.account_gram_counts(batches, sizes, number_of, emit, space=space)
 
-    rows = messages.select("account_id", "text").mapInArrow(run, "account_id string, bucket int, n long, df long")
+    texts = messages.select("account_id", "text")
+    if gathered:
+        texts = texts.repartition("account_id").sortWithinPartitions("account_id")
+    rows = texts.mapInArrow(run, "account_id string, bucket int, n long, df long")
     return kept(rows.groupBy("account_id", "bucket").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "grams")
 
 
@@ -159,19 +166,20 @@ def idf(counts: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
 
 def tfidf(counts: DataFrame, idf_rows: DataFrame, n_messages: int, dim: str = "gram") -> DataFrame:
     """(account_id, idx, w): tf times idf, of unit length, from `account_grams`; a dim without idf has the largest one."""
+    few = F.broadcast if dim == "bucket" else lambda df: df  # buckets have a bound, grams have none
     total = Window.partitionBy("account_id")
     default = F.ln(1 + F.lit(n_messages).cast("double")) + 1
-    rows = counts.select("account_id", dim, "n").join(idf_rows.select(dim, "idf"), dim, "left").withColumn("w", F.col("n") / F.sum("n").over(total) * F.coalesce("idf", default))
+    rows = counts.select("account_id", dim, "n").join(few(idf_rows.select(dim, "idf")), dim, "left").withColumn("w", F.col("n") / F.sum("n").over(total) * F.coalesce("idf", default))
     return unit(rows.select("account_id", F.col(dim).alias("idx"), "w"))
 
 
-def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: int = 1729, space: int = 262_144, fitted_on: DataFrame | None = None) -> DataFrame:
+def style_vectors(messages: DataFrame, words, weights=(0.5, 0.25, 0.25), seed: int = 1729, space: int = 262_144, fitted_on: DataFrame | None = None, gathered: bool = False) -> DataFrame:
     """(account_id, idx, w): the weighted blocks (hashed n-grams, structural, function words) as one unit vector.
 
     The structural statistics and the idf are fitted on the messages of the accounts `fitted_on` (account_id), or on all.
     """
     own = (lambda df: df) if fitted_on is None else (lambda df: df.join(fitted_on.select("account_id").distinct(), "account_id", "left_semi"))
-    counts = account_hashed_grams(messages, space=space, seed=seed)
+    counts = account_hashed_grams(messages, space=space, seed=seed, gathered=gathered)
     n = own(messages).count()
     first = tfidf(counts, idf(own(counts), n, "bucket"), n, "bucket").select("account_id", F.col("idx").cast("long").alias("idx"), (F.col("w") * weights[0]).alias("w"))
     rows = structural(messages)

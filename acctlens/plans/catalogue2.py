@@ -521,7 +521,7 @@ def _engine_vectors(spark, d, accounts=None) -> dict[str, DataFrame]:
     features = kept(_features(spark, d), "features")
     fitted = features if accounts is None else features.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
     engines = {
-        "stylometry": Y.style_vectors(messages, WORDS, fitted_on=accounts),
+        "stylometry": Y.style_vectors(messages, WORDS, fitted_on=accounts, gathered=True),
         "semantic": cmp.semantic_vectors(own, accounts),
         "chronobiology": K.vectors(features, K.fit(fitted)),
     }
@@ -530,11 +530,15 @@ def _engine_vectors(spark, d, accounts=None) -> dict[str, DataFrame]:
 
 def shortlist(spark, d) -> DataFrame:
     """Every listed pair compared by three engines against the listed pairs whose ids have an even sum, which are known to differ."""
-    pairs = _pair_list(spark, d)
-    different = pairs.filter("(CAST(a AS BIGINT) + CAST(b AS BIGINT)) % 2 = 0")
+    pairs = kept(_pair_list(spark, d), "pairs")
     least = (SMALL.minimum_messages, SMALL.minimum_chars)
-    engines = [cmp.Engine(n, v, "all", cmp.baseline_of(different, n, v, "all", *least), *least) for n, v in _engine_vectors(spark, d).items()]
-    return cmp.compare(pairs, P.profiles(_ev(spark, d), SMALL), engines)
+    engines = []
+    for name, vectors in _engine_vectors(spark, d).items():
+        # All pairs' cosines are computed once; the baseline is a part of them.
+        cosines = kept(V.pair_cosine(pairs, vectors), "cosines")
+        base = cmp.Baseline(name, "all", cosines.filter("(CAST(a AS BIGINT) + CAST(b AS BIGINT)) % 2 = 0").select("cosine"), *least)
+        engines.append(cmp.Engine(name, vectors, "all", base, *least, cosines=cosines))
+    return cmp.compare(pairs, kept(P.profiles(_ev(spark, d), SMALL), "profiles"), engines)
 
 
 @query()
@@ -546,6 +550,6 @@ def compare_shortlist(spark, d):
 def evaluate_pipeline(spark, d):
     """Labels of the listed pairs: the same where ids differ by one and the lesser is a multiple of three."""
     same = (F.col("b").cast("long") - F.col("a").cast("long") == 1) & (F.col("a").cast("long") % 3 == 0)
-    labelled = _pair_list(spark, d).select("a", "b", F.when(same, "same").otherwise("different").alias("label"))
-    profiles = P.profiles(_ev(spark, d), SMALL)
+    labelled = kept(_pair_list(spark, d), "pairs").select("a", "b", F.when(same, "same").otherwise("different").alias("label"))
+    profiles = kept(P.profiles(_ev(spark, d), SMALL), "profiles")
     return _rounded(E.evaluate(labelled, profiles, lambda accounts: _engine_vectors(spark, d, accounts), scratch_folder(spark, "evaluate"), SMALL.minimum_messages, SMALL.minimum_chars))

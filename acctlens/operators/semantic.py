@@ -93,15 +93,24 @@ def windows(text: str, vocab: dict[str, int], max_tokens: int = 256) -> list[tup
 
 
 def window_rows(texts: DataFrame, vocab: dict[str, int], max_tokens: int = 256) -> DataFrame:
-    """(id, window, text, ids, key) of each text (id, text); key identifies text and ids without holding them."""
+    """(id, window, text, ids, key) of each text (id, text); key identifies text and ids without holding them. Short texts that come again are cut once in a task."""
+
+    def cut(t: str) -> list[tuple]:
+        return [(k, s, ids, hashlib.sha256(hashlib.sha256(s.encode()).digest() + repr(ids).encode()).hexdigest()) for k, (s, ids) in enumerate(windows(t, vocab, max_tokens))]
+
     def run(batches):
+        known: dict[str, list[tuple]] = {}
         # Ids take many times the room of their text, so little text is handled at once.
         for b in (part for batch in batches for part in parts(batch, 1, 1 << 17)):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, (s, ids) in enumerate(windows(t or "", vocab, max_tokens)):
-                    key = hashlib.sha256(hashlib.sha256(s.encode()).digest() + repr(ids).encode()).hexdigest()
-                    rows.append((i, k, s, ids, key))
+                t = t or ""
+                found = known.get(t)
+                if found is None:
+                    found = cut(t)
+                    if len(t) <= 200 and len(known) < 4096:
+                        known[t] = found
+                rows += [(i, *w) for w in found]
             c = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.string())], names=["id", "window", "text", "ids", "key"])
 

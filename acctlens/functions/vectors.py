@@ -38,7 +38,8 @@ def unit(rows: DataFrame) -> DataFrame:
 
 def packed(rows: DataFrame) -> DataFrame:
     """(account_id, idx, w) with a row for each account: its dimensions that aren't 0, in rising order, as arrays."""
-    rows = rows.filter("w <> 0").select("account_id", F.struct(F.col("idx").cast("long").alias("i"), "w").alias("d"))
+    idx = F.col("idx") if dict(rows.dtypes)["idx"] == "string" else F.col("idx").cast("long")
+    rows = rows.filter("w <> 0").select("account_id", F.struct(idx.alias("i"), "w").alias("d"))
     g = rows.groupBy("account_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
     return g.select("account_id", F.col("d.i").alias("idx"), F.col("d.w").alias("w"))
 
@@ -83,7 +84,12 @@ def dots(batch: pa.RecordBatch) -> np.ndarray:
     (row, ia, wa), (other, ib, wb) = flat(2), flat(4)
     if not len(ia) or not len(ib):
         return np.zeros(batch.num_rows)
-    # A row and a dimension in one number; both sides are in its order.
+    if ia.dtype == object:  # dimensions that are texts are numbered, and the first side put in that order
+        both = np.unique(np.concatenate((ia, ib)).astype(str), return_inverse=True)[1]
+        ia, ib = both[: len(ia)], both[len(ia) :]
+        order = np.lexsort((ia, row))
+        row, ia, wa = row[order], ia[order], wa[order]
+    # A row and a dimension in one number; the first side is in its order.
     span = max(ia.max(), ib.max()) + 1
     left, right = row * span + ia, other * span + ib
     at = np.minimum(np.searchsorted(left, right), len(left) - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -85,7 +86,7 @@ def dots(batch: pa.RecordBatch) -> np.ndarray:
     if not len(ia) or not len(ib):
         return np.zeros(batch.num_rows)
     if ia.dtype == object:  # dimensions that are texts are numbered, and the first side put in that order
-        both = np.unique(np.concatenate((ia, ib)).astype(str), return_inverse=True)[1]
+        both = pd.factorize(np.concatenate((ia, ib)))[0]
         ia, ib = both[: len(ia)], both[len(ia) :]
         order = np.lexsort((ia, row))
         row, ia, wa = row[order], ia[order], wa[order]
